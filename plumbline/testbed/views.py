@@ -79,3 +79,190 @@ def accounts_long(spark: SparkSession, sf: str) -> Sources:
         .agg(F.count(F.lit(1)).alias("txn_count"))
     )
     return Sources(created, closed, reopened, transactions)
+
+
+def web_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions from ``orders``: one per order, with 0 to 3 hits of 0 to 2 products each."""
+    o = table(spark, sf, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
+    bought = key % 3 == 0
+
+    def product(i, p):
+        return F.struct(
+            F.concat(F.lit("item "), ((cust + i + p) % 11).cast("string")).alias("v2ProductName"),
+            ((F.floor(F.col("o_totalprice")) + p) * 10000).cast("long").alias("productRevenue"),
+            (p + i).cast("long").alias("productQuantity"),
+        )
+
+    def up_to(n):
+        return F.filter(F.array(*(F.lit(i) for i in range(1, 4))), lambda x: x <= n)
+
+    def hit(i):
+        return F.struct(
+            F.when(i % 2 == 1, "PAGE").otherwise("EVENT").alias("type"),
+            i.alias("hitNumber"),
+            F.struct(
+                F.concat(F.lit("/p/"), (cust % 7 + i).cast("string")).alias("pagePath")
+            ).alias("page"),
+            F.struct(
+                F.when(bought & (i == key % 4), "6").otherwise("2").alias("action_type")
+            ).alias("eCommerceAction"),
+            F.transform(up_to((key + i) % 3), lambda p: product(i, p)).alias("product"),
+        )
+
+    channel = (
+        F.when(priority == "1-URGENT", "Direct")
+        .when(priority == "2-HIGH", "Organic Search")
+        .when(priority == "3-MEDIUM", "Paid Search")
+        .otherwise("Referral")
+    )
+    medium = (
+        F.when(priority == "1-URGENT", "(none)")
+        .when(priority == "2-HIGH", "organic")
+        .when(priority == "3-MEDIUM", "cpc")
+        .otherwise("referral")
+    )
+    return o.select(
+        F.date_format("o_orderdate", "yyyyMMdd").alias("suffix"),
+        F.date_format("o_orderdate", "yyyyMMdd").alias("date"),
+        cust.cast("string").alias("fullVisitorId"),
+        key.alias("visitId"),
+        channel.alias("channelGrouping"),
+        F.struct(
+            F.nullif(key % 6, F.lit(0)).alias("pageviews"),
+            F.nullif(F.floor("o_totalprice") % 600, F.lit(0)).alias("timeOnSite"),
+            F.when(key % 4 == 0, F.lit(1).cast("long")).alias("bounces"),
+            F.when(bought, F.lit(1).cast("long")).alias("transactions"),
+            F.when(bought, F.floor("o_totalprice") * 1000000).alias("totalTransactionRevenue"),
+        ).alias("totals"),
+        F.struct(medium.alias("medium")).alias("trafficSource"),
+        F.struct(
+            F.when(status == "O", "desktop").when(status == "F", "mobile").otherwise("tablet")
+            .alias("deviceCategory"),
+            (status == "F").alias("isMobile"),
+        ).alias("device"),
+        F.struct(
+            F.when(cust % 5 == 0, "United States").otherwise(
+                F.concat(F.lit("Country "), (cust % 5).cast("string"))
+            ).alias("country")
+        ).alias("geoNetwork"),
+        F.transform(up_to(key % 4), hit).alias("hits"),
+    )
+
+
+def trends(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The four trend tables from ``lineitem``."""
+    line = table(spark, sf, "lineitem")
+    rows = line.select(
+        (F.col("l_suppkey") % 20).alias("dma_id"),
+        F.concat(F.lit("DMA "), (F.col("l_suppkey") % 20).cast("string")).alias("dma_name"),
+        F.concat(F.lit("term "), (F.col("l_partkey") % 500).cast("string")).alias("term"),
+        F.trunc("l_shipdate", "week").alias("week"),
+        F.nullif(F.col("l_quantity").cast("long") % 10, F.lit(0)).alias("score"),
+        (F.col("l_orderkey") % 25 + 1).alias("rank"),
+        F.round(F.col("l_discount") * 1000).cast("long").alias("percent_gain"),
+        F.trunc("l_shipdate", "month").alias("refresh_date"),
+        F.when(F.col("l_suppkey") % 4 == 0, "US")
+        .otherwise(F.concat(F.lit("C"), (F.col("l_suppkey") % 4).cast("string")))
+        .alias("country_code"),
+        F.concat(F.lit("Country "), (F.col("l_suppkey") % 4).cast("string")).alias("country_name"),
+        F.when(F.col("l_linenumber") == 1, "")
+        .otherwise(F.concat(F.lit("R"), (F.col("l_suppkey") % 20).cast("string")))
+        .alias("region_code"),
+        F.when(
+            F.col("l_linenumber") > 1,
+            F.concat(F.lit("Region "), (F.col("l_suppkey") % 20).cast("string")),
+        ).alias("region_name"),
+        "l_linestatus",
+    )
+    result = {}
+    for name, status in (
+        ("top_terms", "O"),
+        ("top_rising_terms", "F"),
+        ("international_top_terms", "O"),
+        ("international_top_rising_terms", "F"),
+    ):
+        place = (
+            ("country_name", "country_code", "region_name", "region_code")
+            if name.startswith("international")
+            else ("dma_name", "dma_id")
+        )
+        gain = ("percent_gain",) if "rising" in name else ()
+        result[name] = rows.where(F.col("l_linestatus") == status).select(
+            *place, "term", "week", "score", *gain, "rank", "refresh_date"
+        )
+    return result
+
+
+def bikes(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Hires from ``events``, stations from ``supplier``."""
+    hires = table(spark, sf, "events").select(
+        F.col("event_id").alias("rental_id"),
+        F.floor((F.col("value") - 5) * 60).alias("duration"),
+        F.col("user_id").alias("bike_id"),
+        F.when(F.col("event_type") == "view", "CLASSIC")
+        .when(F.col("event_type") == "click", "PBSC_EBIKE")
+        .when(F.col("event_type") == "error", "")
+        .alias("bike_model"),
+        F.col("ts").alias("start_date"),
+        F.nullif(F.col("user_id") % 25, F.lit(0)).alias("start_station_id"),
+        (F.col("event_id") % 25).alias("end_station_id"),
+    )
+    stations = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.col("s_name").alias("name"),
+        (F.col("s_suppkey") % 17).alias("bikes_count"),
+        (F.col("s_suppkey") % 17 + F.col("s_nationkey") + 3).cast("long").alias("docks_count"),
+        (F.col("s_acctbal") > 0).alias("installed"),
+    )
+    return {"cycle_hire": hires, "cycle_stations": stations}
+
+
+def taxi(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Trips from ``lineitem`` (fhv and green split by status), zones from ``nation``."""
+    line = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice")
+    trips = line.select(
+        F.date_format("l_shipdate", "yyyy").alias("suffix"),
+        F.when(F.col("l_linenumber") % 2 == 0, "2").otherwise("1").alias("vendor_id"),
+        F.col("l_shipdate").alias("pickup_datetime"),
+        F.timestamp_add(
+            "SECOND", F.col("l_quantity").cast("int") * 60 + F.col("l_linenumber"), "l_shipdate"
+        ).alias("dropoff_datetime"),
+        F.col("l_linenumber").alias("passenger_count"),
+        F.col("l_quantity").alias("trip_distance"),
+        F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")).alias("rate_code"),
+        F.when(F.col("l_returnflag") == "A", "1")
+        .when(F.col("l_returnflag") == "N", "2")
+        .otherwise("3")
+        .alias("payment_type"),
+        price.alias("fare_amount"),
+        (price * F.col("l_discount")).alias("tip_amount"),
+        (price * (F.col("l_tax") + 1)).alias("total_amount"),
+        F.nullif("l_tax", F.lit(0.0)).alias("mta_tax"),
+        F.nullif("l_discount", F.lit(0.0)).alias("airport_fee"),
+        (F.col("l_suppkey") % 25).cast("string").alias("pickup_location_id"),
+        (F.col("l_partkey") % 25).cast("string").alias("dropoff_location_id"),
+        "l_linestatus",
+        "l_suppkey",
+    )
+    zones = (
+        table(spark, sf, "nation")
+        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.col("n_nationkey").cast("string").alias("zone_id"),
+            F.col("n_name").alias("zone_name"),
+            F.col("r_name").alias("borough"),
+        )
+    )
+    return {
+        "yellow_trips": trips.drop("l_linestatus", "l_suppkey"),
+        "green_trips": trips.where("l_linestatus = 'O'").drop(
+            "l_linestatus", "l_suppkey", "vendor_id", "airport_fee"
+        ),
+        "fhv_trips": trips.where("l_linestatus = 'F'").select(
+            "suffix", "pickup_datetime", (F.col("l_suppkey") % 25).alias("location_id")
+        ),
+        "taxi_zones": zones,
+    }
