@@ -74,11 +74,17 @@ def estimated_usd(n: Column | str) -> Column:
 
 
 def human_bytes(n: Column | str) -> Column:
-    """A byte count as text: ``0 B``, ``1.50 KiB`` up to ``TiB``; NULL is ``unknown``."""
+    """A byte count as text: ``0 B``, ``1.50 KiB`` up to ``TiB``; NULL is ``unknown``.
+
+    Half a hundredth goes to the even neighbour.
+    """
     n = _col(n)
+
+    def scaled(power: int) -> Column:
+        value = F.bround(n.cast("double") / F.lit(float(1024**power)), 2)
+        return F.format_string(f"%.2f {SIZE_UNITS[power]}", value)
+
     text = F.when(n.isNull(), "unknown").when(n < 1024, F.format_string("%d B", n.cast("long")))
-    for power, unit in enumerate(SIZE_UNITS[1:-1], start=1):
-        scaled = n.cast("double") / F.lit(float(1024**power))
-        text = text.when(n < F.lit(1024 ** (power + 1)), F.format_string(f"%.2f {unit}", scaled))
-    top = n.cast("double") / F.lit(float(TIB))
-    return text.otherwise(F.format_string(f"%.2f {SIZE_UNITS[-1]}", top))
+    for power in range(1, len(SIZE_UNITS) - 1):
+        text = text.when(n < F.lit(1024 ** (power + 1)), scaled(power))
+    return text.otherwise(scaled(len(SIZE_UNITS) - 1))
