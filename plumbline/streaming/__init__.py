@@ -1,0 +1,5 @@
+"""Daily activity from a stream of events."""
+
+from plumbline.streaming.daily_activity import append_closed_days, daily_activity
+
+__all__ = ["append_closed_days", "daily_activity"]
