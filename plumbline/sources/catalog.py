@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import bytes_to_gib
 
-FOOTER = "path string, num_rows long, bytes long, column_bytes map<string,long>"
+FOOTER = "path string, num_rows long, column string, bytes long"
 
 
 def files(
@@ -43,18 +43,15 @@ def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             filesystem, name = pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
             with filesystem.open_input_file(name) as file:
                 footer = pyarrow.parquet.read_metadata(file)
-            sizes: dict[str, int] = {}
-            for group in range(footer.num_row_groups):
-                for number in range(footer.num_columns):
-                    chunk = footer.row_group(group).column(number)
-                    top = chunk.path_in_schema.split(".")[0]
-                    sizes[top] = sizes.get(top, 0) + chunk.total_compressed_size
-            found.append((path, footer.num_rows, sum(sizes.values()), list(sizes.items())))
-        yield pd.DataFrame(found, columns=["path", "num_rows", "bytes", "column_bytes"])
+            for group in map(footer.row_group, range(footer.num_row_groups)):
+                for chunk in map(group.column, range(group.num_columns)):
+                    column = chunk.path_in_schema.split(".")[0]
+                    found.append((path, footer.num_rows, column, chunk.total_compressed_size))
+        yield pd.DataFrame(found, columns=["path", "num_rows", "column", "bytes"])
 
 
 def footers(listing: DataFrame, tasks: int = 0) -> DataFrame:
-    """Rows and compressed bytes per column of each listed file, from its footer.
+    """Per listed file its row count, and per column chunk the compressed bytes.
 
     Executors read the footers, spread over ``tasks`` tasks (default: the
     session's parallelism).
@@ -63,6 +60,11 @@ def footers(listing: DataFrame, tasks: int = 0) -> DataFrame:
     return listing.select("path").repartition(tasks).mapInPandas(_footers, FOOTER)
 
 
+def row_counts(listing: DataFrame) -> DataFrame:
+    """``(path, num_rows)`` of each listed file."""
+    return footers(listing).groupBy("path").agg(F.max("num_rows").alias("num_rows"))
+
+
 def catalog_tables(
     spark: SparkSession, root: str, allowlist: Sequence[str] | None = None
 ) -> DataFrame:
@@ -83,13 +85,12 @@ def catalog_tables(
     )
     if allowlist is not None:
         listing = listing.where(F.col("table_name").isin(*allowlist))
-    rows = footers(listing).select("path", "num_rows")
     return (
-        listing.join(rows, "path")
+        listing.join(row_counts(listing), "path", "left")
         .groupBy("table_name")
         .agg(
             F.count(F.lit(1)).alias("files"),
-            F.sum("num_rows").alias("rows"),
+            F.coalesce(F.sum("num_rows"), F.lit(0)).alias("rows"),
             F.sum("length").alias("bytes"),
             F.round(bytes_to_gib(F.sum("length")), 3).alias("gib"),
             F.max("modificationTime").alias("modified"),
@@ -119,7 +120,7 @@ def describe_table(
         )
     )
     listing = files(spark, path)
-    counted = footers(listing).agg(F.sum("num_rows").alias("rows"))
+    counted = row_counts(listing).agg(F.sum("num_rows").alias("rows"))
     return listing.agg(
         F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified")
     ).select(

@@ -40,13 +40,8 @@ def scan_estimate(
     if columns is None:
         size = listing.agg(F.sum("length").alias("bytes"))
     else:
-        wanted = F.map_filter(
-            "column_bytes", lambda name, _: name.isin(*columns)
-        )
-        per_file = F.aggregate(
-            F.map_values(wanted), F.lit(0).cast("long"), lambda total, n: total + n
-        )
-        size = footers(listing).agg(F.sum(per_file).alias("bytes"))
+        chunks = footers(listing).where(F.col("column").isin(*columns))
+        size = chunks.agg(F.sum("bytes").alias("bytes"))
     return size.select(F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes")).select(
         "bytes",
         bytes_to_gib("bytes").alias("gib"),
