@@ -53,8 +53,8 @@ def long_datelist(spark, sf):
 def long_cube(spark, sf):
     src = views.accounts_long(spark, sf)
     segments = lifecycle.account_segments(src)
-    days = active_users.user_days(segments, lifecycle.latest_day(src).scalar())
-    return active_users.active_user_cube(days)
+    stretches = active_users.user_stretches(segments, lifecycle.latest_day(src).scalar())
+    return active_users.active_user_cube(stretches, views.ACCOUNT_TYPES)
 
 
 def main() -> None:

@@ -5,6 +5,9 @@ type, age bucket, day) before they are sorted, with a map-side partial step, so
 a user with a third of all accounts reaches a task as a few rows per day. Days
 are unfolded only after the rows are placed by user; every later step up to the
 counts per day stays in that task.
+
+``user_stretches`` is the common input: what a user's accounts of one type and
+age bucket do over a stretch of days. The daily tables unfold it.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import safe_divide
+from plumbline.functions.scalars import bucket_labels
 from plumbline.operators.timeline import segments_to_days
+from plumbline.plans.lifecycle import DEFAULT_EDGES
 
 ROLLED_UP = "ALL"  # fixed value: marks a dimension that a row of the cube is not split by
 
@@ -30,7 +35,7 @@ def signup_cohorts(accounts: DataFrame, unit: str = "month") -> DataFrame:
     )
 
 
-def user_segments(segments: DataFrame, unit: str = "month") -> DataFrame:
+def user_stretches(segments: DataFrame, last_day: Column, unit: str = "month") -> DataFrame:
     """Stretches of constant state per user, account type and age bucket.
 
     ``is_open`` and the activity flags hold if any of the user's accounts of
@@ -91,7 +96,7 @@ def user_segments(segments: DataFrame, unit: str = "month") -> DataFrame:
     running = placed.select(
         *group,
         F.col("day").alias("start_day"),
-        F.date_sub(F.lead("day").over(by_day), 1).alias("end_day"),
+        F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), last_day).alias("end_day"),
         *(F.sum(c).over(upto).alias(c) for c in counters),
     )
     first_day = F.min("start_day").over(W.partitionBy("user_id"))
@@ -109,11 +114,8 @@ def user_segments(segments: DataFrame, unit: str = "month") -> DataFrame:
     )
 
 
-def user_days(segments: DataFrame, last_day: Column, unit: str = "month") -> DataFrame:
+def user_days(stretches: DataFrame) -> DataFrame:
     """One row per user, type, age bucket and day; partitioned by user."""
-    stretches = user_segments(segments, unit).withColumn(
-        "end_day", F.coalesce("end_day", last_day)
-    )
     return segments_to_days(stretches, "start_day", "end_day", "snapshot_date")
 
 
@@ -132,52 +134,46 @@ def user_daily_bridge(days: DataFrame) -> DataFrame:
     )
 
 
-def active_user_cube(days: DataFrame) -> DataFrame:
+# The cells of the cube, by grouping set: all, cohort, type, age bucket, type by age bucket.
+ALL_SET, COHORT_SET, TYPE_SET, BUCKET_SET, BOTH_SET = range(5)
+
+FLAG_BIT = 60  # a state is a long: open (type, bucket) pairs below, activity flags from here up
+
+
+def active_user_cube(
+    stretches: DataFrame,
+    account_types: Sequence[str] | None = None,
+    edges: Sequence[int] = DEFAULT_EDGES,
+) -> DataFrame:
     """Open users, active users and their rates per day over five grouping sets:
     everything, type, age bucket, cohort, and type by age bucket.
 
-    A user counts once per cell. The cells a user belongs to on a day are
-    listed once per (user, day), in the task that holds the user, so that the
-    distinct counts become plain counts and the only shuffle left carries one
-    partial row per cell and task.
-    """
-    combo = F.struct("account_type", "account_age_bucket")
-    per_user = days.groupBy("user_id", "snapshot_date").agg(
-        F.collect_set(F.when(F.col("is_open"), combo)).alias("combos"),
-        F.max("signup_cohort").alias("cohort"),
-        *(F.max(f).alias(f) for f in FLAGS),
-    )
+    A user counts once per cell. What a user contributes on a day depends only on
+    the user's *state*: the open (type, bucket) pairs, the activity flags, the
+    cohort. States are formed in the task that holds the user, users are counted
+    per state, and only the counted states are spread over the cells: the
+    distinct counts become sums and the shuffles carry states, not users.
 
-    def cell(number: int, kind=None, bucket=None, cohort=None) -> Column:
-        parts = {"account_type": kind, "account_age_bucket": bucket, "signup_cohort": cohort}
-        return F.struct(
-            F.lit(number).alias("grouping_set"),
-            *(
-                (F.lit(ROLLED_UP) if value is None else value.cast("string")).alias(name)
-                for name, value in parts.items()
-            ),
-        )
-
-    cells = F.concat(
-        F.array(cell(0), cell(1, cohort=F.col("cohort"))),
-        F.array_distinct(F.transform("combos", lambda x: cell(2, x.account_type))),
-        F.array_distinct(F.transform("combos", lambda x: cell(3, None, x.account_age_bucket))),
-        F.transform("combos", lambda x: cell(4, x.account_type, x.account_age_bucket)),
-    )
-    counts = (
-        per_user.where(F.size("combos") > 0)
-        .select("snapshot_date", *FLAGS, F.inline(cells))
-        .groupBy(
-            "snapshot_date",
-            "grouping_set",
-            "account_type",
-            "account_age_bucket",
-            "signup_cohort",
-        )
-        .agg(
-            F.count(F.lit(1)).alias("open_users"),
-            *(F.sum(f).alias(f"{_users(f)}_count") for f in FLAGS),
-        )
+    With the known ``account_types`` a state is one number and is formed by a hash
+    aggregate; a type outside them is an error, as it is for the quality gate.
+    Without them, or with more than fit, a state holds the pairs themselves.
+    """
+    pairs = [(t, b) for t in account_types or () for b in bucket_labels(edges)]
+    if 0 < len(pairs) <= FLAG_BIT:
+        cells = _cells_of_numbered_states(stretches, pairs)
+    else:
+        cells = _cells_of_listed_states(stretches)
+    counts = cells.groupBy(
+        "snapshot_date",
+        "grouping_set",
+        "account_type",
+        "account_age_bucket",
+        F.when(F.col("grouping_set") == COHORT_SET, F.col("cohort").cast("string"))
+        .otherwise(ROLLED_UP)
+        .alias("signup_cohort"),
+    ).agg(
+        F.sum("users").alias("open_users"),
+        *(F.sum(F.col(f) * F.col("users")).alias(f"{_users(f)}_count") for f in FLAGS),
     )
     return counts.select(
         "snapshot_date",
@@ -193,6 +189,126 @@ def active_user_cube(days: DataFrame) -> DataFrame:
     )
 
 
+def _cells_of_numbered_states(stretches: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(snapshot_date, cohort, users, flags, cell)`` with states as numbers."""
+    bit = F.lit(None).cast("long")
+    for number, (kind, bucket) in reversed(list(enumerate(pairs))):
+        here = (F.col("account_type") == kind) & (F.col("account_age_bucket") == bucket)
+        bit = F.when(here, F.lit(1 << number)).otherwise(bit)
+    known = F.coalesce(
+        bit, F.raise_error(F.concat(F.lit("unknown account type: "), "account_type")).cast("long")
+    )
+    flags = F.lit(0).cast("long")
+    for number, flag in enumerate(FLAGS):
+        flags = flags + F.col(flag).cast("long") * F.lit(1 << (FLAG_BIT + number))
+    numbered = stretches.select(
+        "user_id",
+        F.col("signup_cohort").alias("cohort"),
+        "start_day",
+        "end_day",
+        (F.when(F.col("is_open"), known).otherwise(known * 0) + flags).alias("state"),
+    )
+    per_user = (
+        segments_to_days(numbered, "start_day", "end_day", "snapshot_date")
+        .groupBy("user_id", "cohort", "snapshot_date")
+        .agg(F.bit_or("state").alias("state"))
+        .where(F.col("state").bitwiseAND(F.lit((1 << len(pairs)) - 1)) != 0)
+    )
+    states = per_user.groupBy("snapshot_date", "cohort", "state").agg(
+        F.count(F.lit(1)).alias("users")
+    )
+
+    def cell(grouping_set: int, kind: str | None = None, bucket: str | None = None) -> Column:
+        mask = sum(
+            1 << number
+            for number, (t, b) in enumerate(pairs)
+            if kind in (None, t) and bucket in (None, b)
+        )
+        return F.struct(
+            F.lit(grouping_set).alias("grouping_set"),
+            F.lit(kind or ROLLED_UP).alias("account_type"),
+            F.lit(bucket or ROLLED_UP).alias("account_age_bucket"),
+            F.lit(mask).cast("long").alias("mask"),
+        )
+
+    table = [cell(ALL_SET), cell(COHORT_SET)]
+    table += [cell(TYPE_SET, kind=t) for t in dict.fromkeys(t for t, _ in pairs)]
+    table += [cell(BUCKET_SET, bucket=b) for b in dict.fromkeys(b for _, b in pairs)]
+    table += [cell(BOTH_SET, t, b) for t, b in pairs]
+    return states.select(
+        "snapshot_date",
+        "cohort",
+        "users",
+        *(
+            F.shiftrightunsigned("state", FLAG_BIT + number).bitwiseAND(F.lit(1)).alias(flag)
+            for number, flag in enumerate(FLAGS)
+        ),
+        F.inline(F.filter(F.array(*table), lambda c: F.col("state").bitwiseAND(c.mask) != 0)),
+    )
+
+
+def _cells_of_listed_states(stretches: DataFrame) -> DataFrame:
+    """``(snapshot_date, cohort, users, flags, cell)`` with states as lists of pairs."""
+    pair = F.struct("account_type", "account_age_bucket")
+    per_user = (
+        user_days(stretches)
+        .groupBy("user_id", F.col("signup_cohort").alias("cohort"), "snapshot_date")
+        .agg(
+            F.array_sort(F.collect_set(F.when(F.col("is_open"), pair))).alias("pairs"),
+            *(F.max(f).alias(f) for f in FLAGS),
+        )
+    )
+    states = (
+        per_user.where(F.size("pairs") > 0)
+        .groupBy("snapshot_date", "cohort", "pairs", *FLAGS)
+        .agg(F.count(F.lit(1)).alias("users"))
+    )
+
+    def cell(grouping_set: int, kind: Column | None = None, bucket: Column | None = None) -> Column:
+        rolled_up = F.lit(ROLLED_UP)
+        return F.struct(
+            F.lit(grouping_set).alias("grouping_set"),
+            (rolled_up if kind is None else kind).alias("account_type"),
+            (rolled_up if bucket is None else bucket).alias("account_age_bucket"),
+        )
+
+    cells = F.concat(
+        F.array(cell(ALL_SET), cell(COHORT_SET)),
+        F.array_distinct(F.transform("pairs", lambda x: cell(TYPE_SET, x.account_type))),
+        F.array_distinct(F.transform("pairs", lambda x: cell(BUCKET_SET, None, x.account_age_bucket))),
+        F.transform("pairs", lambda x: cell(BOTH_SET, x.account_type, x.account_age_bucket)),
+    )
+    return states.select("snapshot_date", "cohort", "users", *FLAGS, F.inline(cells))
+
+
+def cube_slice(cube: DataFrame, split_by: Sequence[str] = ()) -> DataFrame:
+    """The rows of one grouping set: split by ``split_by``, rolled up elsewhere, in date order."""
+    for name in ("account_type", "account_age_bucket", "signup_cohort"):
+        rolled_up = F.col(name) == ROLLED_UP
+        cube = cube.where(~rolled_up if name in split_by else rolled_up)
+    return cube.orderBy("snapshot_date", *split_by)
+
+
+def headline_rate(cube: DataFrame) -> DataFrame:
+    """The overall series."""
+    return cube_slice(cube).select(
+        "snapshot_date",
+        "open_users",
+        *(f"{_users(f)}_count" for f in FLAGS),
+        *(f"{_users(f)}_rate" for f in FLAGS),
+    )
+
+
+def cube_latest(cube: DataFrame) -> DataFrame:
+    """Type by age bucket on the last day of the cube."""
+    last = cube.agg(F.max("snapshot_date").alias("d")).scalar()
+    split = ("account_type", "account_age_bucket")
+    rows = cube_slice(cube.where(F.col("snapshot_date") == last), split)
+    return rows.select(
+        *split, "open_users", "active_users_7d_count", "active_users_7d_rate"
+    ).orderBy(*split)
+
+
 def _users(flag: str) -> str:
     return flag.replace("active", "active_users")
 

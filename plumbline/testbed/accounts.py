@@ -22,14 +22,18 @@ def _datelist(spark, sf):
     return lifecycle.account_datelist(sources(spark, sf), edges=EDGES)
 
 
-def _days(spark, sf):
+def _stretches(spark, sf):
     src = sources(spark, sf)
     segments = lifecycle.account_segments(src, edges=EDGES)
-    return active_users.user_days(segments, lifecycle.latest_day(src).scalar(), UNIT)
+    return active_users.user_stretches(segments, lifecycle.latest_day(src).scalar(), UNIT)
+
+
+def _days(spark, sf):
+    return active_users.user_days(_stretches(spark, sf))
 
 
 def _cube(spark, sf):
-    return active_users.active_user_cube(_days(spark, sf))
+    return active_users.active_user_cube(_stretches(spark, sf), views.ACCOUNT_TYPES, EDGES)
 
 
 def _acct(body: str) -> str:
@@ -309,6 +313,12 @@ def active_user_cube(spark, sf):
     return _cube(spark, sf)
 
 
+@register("active_user_cube_any_types", _cubed("SELECT * FROM active_user_cube"))
+def active_user_cube_any_types(spark, sf):
+    """The same when the set of account types is not known beforehand."""
+    return active_users.active_user_cube(_stretches(spark, sf), edges=EDGES)
+
+
 @register(
     "headline_rate",
     _cubed("SELECT snapshot_date, open_users, active_users_1d_count, active_users_7d_count,"

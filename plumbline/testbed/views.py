@@ -6,7 +6,9 @@ on a view still prunes columns and pushes filters down to the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator, Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.lifecycle import Sources
@@ -26,6 +28,31 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+class Views(Mapping[str, DataFrame]):
+    """Named views, each built when it is asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._builders[name]()
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def year_suffix(day: str) -> Column:
+    return F.year(day).cast("string")
+
+
+def day_suffix(day: str) -> Column:
+    """``yyyyMMdd`` by arithmetic, which is cheaper per row than a formatter."""
+    return F.expr(f"string(year({day}) * 10000 + month({day}) * 100 + day({day}))")
+
+
 def accounts_raw(spark: SparkSession, sf: str) -> Sources:
     """Account sources from ``events``, repeats and NULL types included."""
     events = table(spark, sf, "events")
@@ -83,186 +110,158 @@ def accounts_long(spark: SparkSession, sf: str) -> Sources:
 
 def web_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions from ``orders``: one per order, with 0 to 3 hits of 0 to 2 products each."""
-    o = table(spark, sf, "orders")
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    bought = key % 3 == 0
-
-    def product(i, p):
-        return F.struct(
-            F.concat(F.lit("item "), ((cust + i + p) % 11).cast("string")).alias("v2ProductName"),
-            ((F.floor(F.col("o_totalprice")) + p) * 10000).cast("long").alias("productRevenue"),
-            (p + i).cast("long").alias("productQuantity"),
-        )
-
-    def up_to(n):
-        return F.filter(F.array(*(F.lit(i) for i in range(1, 4))), lambda x: x <= n)
-
-    def hit(i):
-        return F.struct(
-            F.when(i % 2 == 1, "PAGE").otherwise("EVENT").alias("type"),
-            i.alias("hitNumber"),
-            F.struct(
-                F.concat(F.lit("/p/"), (cust % 7 + i).cast("string")).alias("pagePath")
-            ).alias("page"),
-            F.struct(
-                F.when(bought & (i == key % 4), "6").otherwise("2").alias("action_type")
-            ).alias("eCommerceAction"),
-            F.transform(up_to((key + i) % 3), lambda p: product(i, p)).alias("product"),
-        )
-
-    channel = (
-        F.when(priority == "1-URGENT", "Direct")
-        .when(priority == "2-HIGH", "Organic Search")
-        .when(priority == "3-MEDIUM", "Paid Search")
-        .otherwise("Referral")
+    product = (
+        "named_struct('v2ProductName', concat('item ', (o_custkey + i + p) % 11),"
+        " 'productRevenue', bigint((floor(o_totalprice) + p) * 10000),"
+        " 'productQuantity', bigint(p + i))"
     )
-    medium = (
-        F.when(priority == "1-URGENT", "(none)")
-        .when(priority == "2-HIGH", "organic")
-        .when(priority == "3-MEDIUM", "cpc")
-        .otherwise("referral")
+    hit = (
+        "named_struct('type', if(i % 2 = 1, 'PAGE', 'EVENT'), 'hitNumber', i,"
+        " 'page', named_struct('pagePath', concat('/p/', o_custkey % 7 + i)),"
+        " 'eCommerceAction', named_struct('action_type',"
+        " if(o_orderkey % 3 = 0 AND i = o_orderkey % 4, '6', '2')),"
+        f" 'product', transform(slice(array(1, 2), 1, int((o_orderkey + i) % 3)), p -> {product}))"
     )
-    return o.select(
-        F.date_format("o_orderdate", "yyyyMMdd").alias("suffix"),
-        F.date_format("o_orderdate", "yyyyMMdd").alias("date"),
-        cust.cast("string").alias("fullVisitorId"),
-        key.alias("visitId"),
-        channel.alias("channelGrouping"),
-        F.struct(
-            F.nullif(key % 6, F.lit(0)).alias("pageviews"),
-            F.nullif(F.floor("o_totalprice") % 600, F.lit(0)).alias("timeOnSite"),
-            F.when(key % 4 == 0, F.lit(1).cast("long")).alias("bounces"),
-            F.when(bought, F.lit(1).cast("long")).alias("transactions"),
-            F.when(bought, F.floor("o_totalprice") * 1000000).alias("totalTransactionRevenue"),
-        ).alias("totals"),
-        F.struct(medium.alias("medium")).alias("trafficSource"),
-        F.struct(
-            F.when(status == "O", "desktop").when(status == "F", "mobile").otherwise("tablet")
-            .alias("deviceCategory"),
-            (status == "F").alias("isMobile"),
-        ).alias("device"),
-        F.struct(
-            F.when(cust % 5 == 0, "United States").otherwise(
-                F.concat(F.lit("Country "), (cust % 5).cast("string"))
-            ).alias("country")
-        ).alias("geoNetwork"),
-        F.transform(up_to(key % 4), hit).alias("hits"),
+    return table(spark, sf, "orders").select(
+        day_suffix("o_orderdate").alias("suffix"),
+        day_suffix("o_orderdate").alias("date"),
+        F.expr("string(o_custkey) AS fullVisitorId"),
+        F.expr("o_orderkey AS visitId"),
+        F.expr(
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 'Direct' WHEN '2-HIGH' THEN 'Organic Search'"
+            " WHEN '3-MEDIUM' THEN 'Paid Search' ELSE 'Referral' END AS channelGrouping"
+        ),
+        F.expr(
+            "named_struct('pageviews', nullif(o_orderkey % 6, 0),"
+            " 'timeOnSite', nullif(floor(o_totalprice) % 600, 0),"
+            " 'bounces', if(o_orderkey % 4 = 0, 1L, NULL),"
+            " 'transactions', if(o_orderkey % 3 = 0, 1L, NULL),"
+            " 'totalTransactionRevenue', if(o_orderkey % 3 = 0, floor(o_totalprice) * 1000000L,"
+            " NULL)) AS totals"
+        ),
+        F.expr(
+            "named_struct('medium', CASE o_orderpriority WHEN '1-URGENT' THEN '(none)'"
+            " WHEN '2-HIGH' THEN 'organic' WHEN '3-MEDIUM' THEN 'cpc' ELSE 'referral' END)"
+            " AS trafficSource"
+        ),
+        F.expr(
+            "named_struct('deviceCategory', CASE o_orderstatus WHEN 'O' THEN 'desktop'"
+            " WHEN 'F' THEN 'mobile' ELSE 'tablet' END, 'isMobile', o_orderstatus = 'F') AS device"
+        ),
+        F.expr(
+            "named_struct('country', if(o_custkey % 5 = 0, 'United States',"
+            " concat('Country ', o_custkey % 5))) AS geoNetwork"
+        ),
+        F.expr(f"transform(slice(array(1, 2, 3), 1, int(o_orderkey % 4)), i -> {hit}) AS hits"),
     )
 
 
-def trends(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The four trend tables from ``lineitem``."""
-    line = table(spark, sf, "lineitem")
-    rows = line.select(
-        (F.col("l_suppkey") % 20).alias("dma_id"),
-        F.concat(F.lit("DMA "), (F.col("l_suppkey") % 20).cast("string")).alias("dma_name"),
-        F.concat(F.lit("term "), (F.col("l_partkey") % 500).cast("string")).alias("term"),
-        F.trunc("l_shipdate", "week").alias("week"),
-        F.nullif(F.col("l_quantity").cast("long") % 10, F.lit(0)).alias("score"),
-        (F.col("l_orderkey") % 25 + 1).alias("rank"),
-        F.round(F.col("l_discount") * 1000).cast("long").alias("percent_gain"),
-        F.trunc("l_shipdate", "month").alias("refresh_date"),
-        F.when(F.col("l_suppkey") % 4 == 0, "US")
-        .otherwise(F.concat(F.lit("C"), (F.col("l_suppkey") % 4).cast("string")))
-        .alias("country_code"),
-        F.concat(F.lit("Country "), (F.col("l_suppkey") % 4).cast("string")).alias("country_name"),
-        F.when(F.col("l_linenumber") == 1, "")
-        .otherwise(F.concat(F.lit("R"), (F.col("l_suppkey") % 20).cast("string")))
-        .alias("region_code"),
-        F.when(
-            F.col("l_linenumber") > 1,
-            F.concat(F.lit("Region "), (F.col("l_suppkey") % 20).cast("string")),
-        ).alias("region_name"),
-        "l_linestatus",
+def _trend(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    place = (
+        ("country_name", "country_code", "region_name", "region_code")
+        if name.startswith("international")
+        else ("dma_name", "dma_id")
     )
-    result = {}
-    for name, status in (
-        ("top_terms", "O"),
-        ("top_rising_terms", "F"),
-        ("international_top_terms", "O"),
-        ("international_top_rising_terms", "F"),
-    ):
-        place = (
-            ("country_name", "country_code", "region_name", "region_code")
-            if name.startswith("international")
-            else ("dma_name", "dma_id")
+    rising = "rising" in name
+    expressions = {
+        "dma_id": "l_suppkey % 20",
+        "dma_name": "concat('DMA ', l_suppkey % 20)",
+        "country_code": "if(l_suppkey % 4 = 0, 'US', concat('C', l_suppkey % 4))",
+        "country_name": "concat('Country ', l_suppkey % 4)",
+        "region_code": "if(l_linenumber = 1, '', concat('R', l_suppkey % 20))",
+        "region_name": "if(l_linenumber > 1, concat('Region ', l_suppkey % 20), NULL)",
+        "term": "concat('term ', l_partkey % 500)",
+        "week": "trunc(l_shipdate, 'week')",
+        "score": "nullif(bigint(l_quantity) % 10, 0)",
+        "percent_gain": "bigint(round(l_discount * 1000))",
+        "rank": "l_orderkey % 25 + 1",
+        "refresh_date": "trunc(l_shipdate, 'month')",
+    }
+    gain = ("percent_gain",) if rising else ()
+    columns = (*place, "term", "week", "score", *gain, "rank", "refresh_date")
+    rows = table(spark, sf, "lineitem").where(f"l_linestatus = '{'F' if rising else 'O'}'")
+    return rows.selectExpr(*(f"{expressions[c]} AS {c}" for c in columns))
+
+
+def trends(spark: SparkSession, sf: str) -> Views:
+    """The four trend tables from ``lineitem``."""
+    names = ("top_terms", "top_rising_terms", "international_top_terms",
+             "international_top_rising_terms")
+    return Views({name: lambda name=name: _trend(spark, sf, name) for name in names})
+
+
+def bikes(spark: SparkSession, sf: str) -> Views:
+    """Hires from ``events``, stations from ``supplier``."""
+
+    def hires() -> DataFrame:
+        return table(spark, sf, "events").selectExpr(
+            "event_id AS rental_id",
+            "floor((value - 5) * 60) AS duration",
+            "user_id AS bike_id",
+            "CASE event_type WHEN 'view' THEN 'CLASSIC' WHEN 'click' THEN 'PBSC_EBIKE'"
+            " WHEN 'error' THEN '' END AS bike_model",
+            "ts AS start_date",
+            "nullif(user_id % 25, 0) AS start_station_id",
+            "event_id % 25 AS end_station_id",
         )
-        gain = ("percent_gain",) if "rising" in name else ()
-        result[name] = rows.where(F.col("l_linestatus") == status).select(
-            *place, "term", "week", "score", *gain, "rank", "refresh_date"
+
+    def stations() -> DataFrame:
+        return table(spark, sf, "supplier").selectExpr(
+            "s_suppkey AS id",
+            "s_name AS name",
+            "s_suppkey % 17 AS bikes_count",
+            "s_suppkey % 17 + s_nationkey + 3 AS docks_count",
+            "s_acctbal > 0 AS installed",
         )
-    return result
 
+    return Views({"cycle_hire": hires, "cycle_stations": stations})
 
-def bikes(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Hires from ``events``, stations from ``supplier``."""
-    hires = table(spark, sf, "events").select(
-        F.col("event_id").alias("rental_id"),
-        F.floor((F.col("value") - 5) * 60).alias("duration"),
-        F.col("user_id").alias("bike_id"),
-        F.when(F.col("event_type") == "view", "CLASSIC")
-        .when(F.col("event_type") == "click", "PBSC_EBIKE")
-        .when(F.col("event_type") == "error", "")
-        .alias("bike_model"),
-        F.col("ts").alias("start_date"),
-        F.nullif(F.col("user_id") % 25, F.lit(0)).alias("start_station_id"),
-        (F.col("event_id") % 25).alias("end_station_id"),
-    )
-    stations = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("id"),
-        F.col("s_name").alias("name"),
-        (F.col("s_suppkey") % 17).alias("bikes_count"),
-        (F.col("s_suppkey") % 17 + F.col("s_nationkey") + 3).cast("long").alias("docks_count"),
-        (F.col("s_acctbal") > 0).alias("installed"),
-    )
-    return {"cycle_hire": hires, "cycle_stations": stations}
-
-
-def taxi(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """Trips from ``lineitem`` (fhv and green split by status), zones from ``nation``."""
-    line = table(spark, sf, "lineitem")
-    price = F.col("l_extendedprice")
-    trips = line.select(
-        F.date_format("l_shipdate", "yyyy").alias("suffix"),
-        F.when(F.col("l_linenumber") % 2 == 0, "2").otherwise("1").alias("vendor_id"),
-        F.col("l_shipdate").alias("pickup_datetime"),
-        F.timestamp_add(
-            "SECOND", F.col("l_quantity").cast("int") * 60 + F.col("l_linenumber"), "l_shipdate"
-        ).alias("dropoff_datetime"),
-        F.col("l_linenumber").alias("passenger_count"),
-        F.col("l_quantity").alias("trip_distance"),
-        F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")).alias("rate_code"),
-        F.when(F.col("l_returnflag") == "A", "1")
-        .when(F.col("l_returnflag") == "N", "2")
-        .otherwise("3")
-        .alias("payment_type"),
-        price.alias("fare_amount"),
-        (price * F.col("l_discount")).alias("tip_amount"),
-        (price * (F.col("l_tax") + 1)).alias("total_amount"),
-        F.nullif("l_tax", F.lit(0.0)).alias("mta_tax"),
-        F.nullif("l_discount", F.lit(0.0)).alias("airport_fee"),
-        (F.col("l_suppkey") % 25).cast("string").alias("pickup_location_id"),
-        (F.col("l_partkey") % 25).cast("string").alias("dropoff_location_id"),
-        "l_linestatus",
-        "l_suppkey",
-    )
-    zones = (
-        table(spark, sf, "nation")
-        .join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("n_nationkey").cast("string").alias("zone_id"),
-            F.col("n_name").alias("zone_name"),
-            F.col("r_name").alias("borough"),
+
+def _trips(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
+    expressions = {
+        "suffix": "string(year(l_shipdate))",
+        "vendor_id": "if(l_linenumber % 2 = 0, '2', '1')",
+        "pickup_datetime": "l_shipdate",
+        "dropoff_datetime": "timestampadd(SECOND, int(l_quantity) * 60 + l_linenumber, l_shipdate)",
+        "passenger_count": "l_linenumber",
+        "trip_distance": "l_quantity",
+        "rate_code": "concat(l_linenumber, '.0')",
+        "payment_type": "CASE l_returnflag WHEN 'A' THEN '1' WHEN 'N' THEN '2' ELSE '3' END",
+        "fare_amount": "l_extendedprice",
+        "tip_amount": "l_extendedprice * l_discount",
+        "total_amount": "l_extendedprice * (l_tax + 1)",
+        "mta_tax": "nullif(l_tax, 0)",
+        "airport_fee": "nullif(l_discount, 0)",
+        "pickup_location_id": "string(l_suppkey % 25)",
+        "dropoff_location_id": "string(l_partkey % 25)",
+        "location_id": "l_suppkey % 25",
+        "l_linestatus": "l_linestatus",
+    }
+    return table(spark, sf, "lineitem").selectExpr(*(f"{expressions[c]} AS {c}" for c in columns))
+
+
+def taxi(spark: SparkSession, sf: str) -> Views:
+    """Trips from ``lineitem`` (green and fhv split by status), zones from ``nation``."""
+    green = ("suffix", "pickup_datetime", "dropoff_datetime", "passenger_count", "trip_distance",
+             "rate_code", "payment_type", "fare_amount", "tip_amount", "total_amount",
+             "pickup_location_id", "dropoff_location_id")
+    yellow = (*green, "vendor_id", "mta_tax", "airport_fee")
+
+    def split(status: str, *columns: str) -> DataFrame:
+        rows = _trips(spark, sf, (*columns, "l_linestatus"))
+        return rows.where(F.col("l_linestatus") == status).drop("l_linestatus")
+
+    def zones() -> DataFrame:
+        region = F.col("n_regionkey") == F.col("r_regionkey")
+        return table(spark, sf, "nation").join(table(spark, sf, "region"), region).selectExpr(
+            "string(n_nationkey) AS zone_id", "n_name AS zone_name", "r_name AS borough"
         )
+
+    return Views(
+        {
+            "yellow_trips": lambda: _trips(spark, sf, yellow),
+            "green_trips": lambda: split("O", *green),
+            "fhv_trips": lambda: split("F", "suffix", "pickup_datetime", "location_id"),
+            "taxi_zones": zones,
+        }
     )
-    return {
-        "yellow_trips": trips.drop("l_linestatus", "l_suppkey"),
-        "green_trips": trips.where("l_linestatus = 'O'").drop(
-            "l_linestatus", "l_suppkey", "vendor_id", "airport_fee"
-        ),
-        "fhv_trips": trips.where("l_linestatus = 'F'").select(
-            "suffix", "pickup_datetime", (F.col("l_suppkey") % 25).alias("location_id")
-        ),
-        "taxi_zones": zones,
-    }
