@@ -14,6 +14,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def place_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows placed by ``keys`` over all of the session's shuffle partitions.
+
+    For rows that are about to be unfolded. They are few and small before that, so
+    adaptive execution would merge them into few tasks, judging by a size that
+    is about to grow a hundredfold; a fixed number of partitions is left alone.
+    """
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *keys)
+
+
 def spine(entities: DataFrame, first: str, last: Column, day: str = "day") -> DataFrame:
     """One row per entity and day from its ``first`` column to ``last``."""
     days = F.sequence(F.col(first), last, F.expr("interval 1 day"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import safe_divide
 from plumbline.functions.scalars import bucket_labels
-from plumbline.operators.timeline import segments_to_days
+from plumbline.operators.timeline import place_by, segments_to_days
 from plumbline.plans.lifecycle import DEFAULT_EDGES
 
 ROLLED_UP = "ALL"  # fixed value: marks a dimension that a row of the cube is not split by
@@ -44,53 +44,45 @@ def user_stretches(segments: DataFrame, last_day: Column, unit: str = "month") -
     """
     counters = ("accounts", "open", "a1", "a7", "a28")
     history = W.partitionBy("account_id").orderBy("start_day")
-    state = segments.select(
+    state = segments.selectExpr(
         "account_id",
         "user_id",
         "account_type",
+        "account_age_bucket AS bucket",
         "start_day",
-        F.struct(
-            F.col("account_age_bucket").alias("bucket"),
-            F.lit(1).alias("accounts"),
-            F.col("is_open").cast("int").alias("open"),
-            (F.col("l1") > 0).cast("int").alias("a1"),
-            (F.col("l7") > 0).cast("int").alias("a7"),
-            (F.col("l28") > 0).cast("int").alias("a28"),
-        ).alias("new"),
-    ).withColumn("old", F.lag("new").over(history))
-
-    def change(bucket: str, added: bool, removed: bool) -> Column:
-        return F.struct(
-            F.col(bucket).alias("account_age_bucket"),
-            *(
-                (
-                    (F.col(f"new.{c}") if added else F.lit(0))
-                    - (F.col(f"old.{c}") if removed else F.lit(0))
-                ).alias(c)
-                for c in counters
-            ),
-        )
-
-    moves = (
-        F.when(F.col("old").isNull(), F.array(change("new.bucket", True, False)))
-        .when(
-            F.col("old.bucket") == F.col("new.bucket"), F.array(change("new.bucket", True, True))
-        )
-        .otherwise(
-            F.array(change("new.bucket", True, False), change("old.bucket", False, True))
-        )
+        "int(is_open) + 2 * int(l1 > 0) + 4 * int(l7 > 0) + 8 * int(l28 > 0) AS state",
+    ).withColumns(
+        {"old_bucket": F.lag("bucket").over(history), "old_state": F.lag("state").over(history)}
     )
+    # Where an account changes, its new state is added and its old one taken away. The two
+    # meet in the map-side aggregate and leave the difference.
     group = ("user_id", "account_type", "account_age_bucket")
     deltas = (
-        state.select("user_id", "account_type", F.col("start_day").alias("day"), F.inline(moves))
-        .where(" OR ".join(f"{c} <> 0" for c in counters))
+        state.where("old_state IS NULL OR state <> old_state OR bucket <> old_bucket")
+        .withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+        .where("sign > 0 OR old_state IS NOT NULL")
+        .selectExpr(
+            "user_id",
+            "account_type",
+            "if(sign > 0, bucket, old_bucket) AS account_age_bucket",
+            "start_day AS day",
+            "sign",
+            "if(sign > 0, state, old_state) AS state",
+        )
         .groupBy(*group, "day")
-        .agg(*(F.sum(c).alias(c) for c in counters))
+        .agg(
+            F.sum("sign").alias(counters[0]),
+            *(
+                F.expr(f"sum(sign * ((state >> {bit}) & 1))").alias(c)
+                for bit, c in enumerate(counters[1:])
+            ),
+        )
+        .where(" OR ".join(f"{c} <> 0" for c in counters))
     )
 
     # Placed by user alone: the running sums per group, the cohort per user, and the
     # per-day aggregation of the caller all find their rows in place.
-    placed = deltas.repartition("user_id")
+    placed = place_by(deltas, "user_id")
     by_day = W.partitionBy(*group).orderBy("day")
     upto = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
     running = placed.select(
@@ -191,59 +183,65 @@ def active_user_cube(
 
 def _cells_of_numbered_states(stretches: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """``(snapshot_date, cohort, users, flags, cell)`` with states as numbers."""
-    bit = F.lit(None).cast("long")
-    for number, (kind, bucket) in reversed(list(enumerate(pairs))):
-        here = (F.col("account_type") == kind) & (F.col("account_age_bucket") == bucket)
-        bit = F.when(here, F.lit(1 << number)).otherwise(bit)
-    known = F.coalesce(
-        bit, F.raise_error(F.concat(F.lit("unknown account type: "), "account_type")).cast("long")
+    types, buckets = (list(dict.fromkeys(column)) for column in zip(*pairs))
+
+    def listed(values: Sequence[str]) -> str:
+        return "array({})".format(", ".join(_quoted(v) for v in values))
+
+    number = (
+        f"int(array_position({listed(types)}, account_type) - 1) * {len(buckets)}"
+        f" + int(array_position({listed(buckets)}, account_age_bucket) - 1)"
     )
-    flags = F.lit(0).cast("long")
-    for number, flag in enumerate(FLAGS):
-        flags = flags + F.col(flag).cast("long") * F.lit(1 << (FLAG_BIT + number))
-    numbered = stretches.select(
+    pair = (
+        f"CASE WHEN array_contains({listed(types)}, account_type)"
+        f" AND array_contains({listed(buckets)}, account_age_bucket)"
+        f" THEN shiftleft(1L, {number})"
+        " ELSE bigint(raise_error(concat('unknown account type or bucket: ', account_type,"
+        " ', ', account_age_bucket))) END"
+    )
+    flags = " + ".join(f"shiftleft(bigint({f}), {FLAG_BIT + n})" for n, f in enumerate(FLAGS))
+    numbered = stretches.selectExpr(
         "user_id",
-        F.col("signup_cohort").alias("cohort"),
+        "signup_cohort AS cohort",
         "start_day",
         "end_day",
-        (F.when(F.col("is_open"), known).otherwise(known * 0) + flags).alias("state"),
+        f"if(is_open, {pair}, 0L * {pair}) + {flags} AS state",
     )
     per_user = (
         segments_to_days(numbered, "start_day", "end_day", "snapshot_date")
         .groupBy("user_id", "cohort", "snapshot_date")
         .agg(F.bit_or("state").alias("state"))
-        .where(F.col("state").bitwiseAND(F.lit((1 << len(pairs)) - 1)) != 0)
+        .where(f"state & {(1 << len(pairs)) - 1}L <> 0")
     )
     states = per_user.groupBy("snapshot_date", "cohort", "state").agg(
         F.count(F.lit(1)).alias("users")
     )
 
-    def cell(grouping_set: int, kind: str | None = None, bucket: str | None = None) -> Column:
+    def cell(grouping_set: int, kind: str | None = None, bucket: str | None = None) -> str:
         mask = sum(
-            1 << number
-            for number, (t, b) in enumerate(pairs)
+            1 << n
+            for n, (t, b) in enumerate(pairs)
             if kind in (None, t) and bucket in (None, b)
         )
-        return F.struct(
-            F.lit(grouping_set).alias("grouping_set"),
-            F.lit(kind or ROLLED_UP).alias("account_type"),
-            F.lit(bucket or ROLLED_UP).alias("account_age_bucket"),
-            F.lit(mask).cast("long").alias("mask"),
+        return (
+            f"named_struct('grouping_set', {grouping_set},"
+            f" 'account_type', {_quoted(kind or ROLLED_UP)},"
+            f" 'account_age_bucket', {_quoted(bucket or ROLLED_UP)}, 'mask', {mask}L)"
         )
 
-    table = [cell(ALL_SET), cell(COHORT_SET)]
-    table += [cell(TYPE_SET, kind=t) for t in dict.fromkeys(t for t, _ in pairs)]
-    table += [cell(BUCKET_SET, bucket=b) for b in dict.fromkeys(b for _, b in pairs)]
-    table += [cell(BOTH_SET, t, b) for t, b in pairs]
-    return states.select(
+    cells = [cell(ALL_SET), cell(COHORT_SET)]
+    cells += [cell(TYPE_SET, kind=t) for t in types]
+    cells += [cell(BUCKET_SET, bucket=b) for b in buckets]
+    cells += [cell(BOTH_SET, t, b) for t, b in pairs]
+    return states.selectExpr(
         "snapshot_date",
         "cohort",
         "users",
         *(
-            F.shiftrightunsigned("state", FLAG_BIT + number).bitwiseAND(F.lit(1)).alias(flag)
-            for number, flag in enumerate(FLAGS)
+            f"shiftrightunsigned(state, {FLAG_BIT + n}) & 1 AS {flag}"
+            for n, flag in enumerate(FLAGS)
         ),
-        F.inline(F.filter(F.array(*table), lambda c: F.col("state").bitwiseAND(c.mask) != 0)),
+        f"inline(filter(array({', '.join(cells)}), c -> state & c.mask <> 0))",
     )
 
 
@@ -309,6 +307,11 @@ def cube_latest(cube: DataFrame) -> DataFrame:
     ).orderBy(*split)
 
 
+def _quoted(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _users(flag: str) -> str:
     return flag.replace("active", "active_users")
 

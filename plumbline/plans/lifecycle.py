@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import age_bucket, calendar_day
-from plumbline.operators.timeline import segments_to_days
+from plumbline.operators.timeline import place_by, segments_to_days
 
 # On the same instant the later entry wins; two of them leave an account open.
 PRECEDENCE = {"created": 1, "closed": 2, "reopened": 3}
@@ -218,7 +218,7 @@ def account_segments(
     )
     is_creation = F.col("created_date").isNotNull()
     facts = creation.unionAll(lifecycle).unionAll(activity).where(F.col("day").isNotNull())
-    facts = facts.select(
+    facts = place_by(facts, "account_id").select(
         "account_id",
         "day",
         "rank",
