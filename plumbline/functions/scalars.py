@@ -61,7 +61,7 @@ def age_bucket(age_days: Column | str, edges: Sequence[int] = (30, 90, 365)) ->
 
 
 def gib_to_bytes(gib: Column | str) -> Column:
-    return (_col(gib) * F.lit(GIB)).cast("long")
+    return (_col(gib).cast("double") * F.lit(float(GIB))).cast("long")
 
 
 def bytes_to_gib(n: Column | str) -> Column:

@@ -235,6 +235,7 @@ def _trips(spark: SparkSession, sf: str, columns: tuple[str, ...]) -> DataFrame:
         "pickup_location_id": "string(l_suppkey % 25)",
         "dropoff_location_id": "string(l_partkey % 25)",
         "location_id": "l_suppkey % 25",
+        "borough": "concat('Borough ', l_suppkey % 5)",
         "l_linestatus": "l_linestatus",
     }
     return table(spark, sf, "lineitem").selectExpr(*(f"{expressions[c]} AS {c}" for c in columns))
@@ -261,7 +262,7 @@ def taxi(spark: SparkSession, sf: str) -> Views:
         {
             "yellow_trips": lambda: _trips(spark, sf, yellow),
             "green_trips": lambda: split("O", *green),
-            "fhv_trips": lambda: split("F", "suffix", "pickup_datetime", "location_id"),
+            "fhv_trips": lambda: split("F", "suffix", "pickup_datetime", "location_id", "borough"),
             "taxi_zones": zones,
         }
     )
