@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 100_000
+MOST_HOT_KEYS = 4096
 
 
 def left_join_hot_keys(
@@ -13,17 +14,22 @@ def left_join_hot_keys(
 ) -> DataFrame:
     """``many`` left join ``one`` (unique on ``key``), with hot keys of ``many`` split.
 
-    A key with more rows than a chunk may hold is divided by the hash of
-    ``spread``, and its single row on the other side is repeated once per chunk.
-    All other keys join as they are. The hot keys number at most
-    ``rows / rows_per_chunk``; the planner broadcasts them if they are few.
-    The result is the plain join, whole.
+    A key is hot if it has more than ``rows_per_chunk`` rows and more than one in
+    ``MOST_HOT_KEYS`` of all rows. It is divided by the hash of ``spread``, and its
+    single row on the other side is repeated once per chunk. All other keys join
+    as they are, and the result is the plain join, whole.
+
+    Fewer than ``MOST_HOT_KEYS`` keys can each hold that share, whatever the size
+    of the data. That bound is what allows the list of hot keys to be broadcast,
+    and with it ``one`` is shuffled once, for the join itself.
     """
-    hot = (
+    total = many.agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = F.greatest(F.lit(rows_per_chunk).cast("long"), F.ceil(total / MOST_HOT_KEYS))
+    hot = F.broadcast(
         many.groupBy(key)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > rows_per_chunk)
-        .select(key, F.ceil(F.col("_rows") / rows_per_chunk).cast("int").alias("_chunks"))
+        .where(F.col("_rows") > size)
+        .select(key, F.ceil(F.col("_rows") / size).cast("int").alias("_chunks"))
     )
     chunk = F.pmod(F.xxhash64(spread), F.coalesce("_chunks", F.lit(1))).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import tempfile
@@ -15,6 +16,11 @@ from pyspark.sql import functions as F
 from plumbline.operators.quality import require_passed
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="plumbline-")
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder that every executor can reach, under ``spark.checkpoint.dir``.
 
@@ -24,8 +30,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root}/plumbline/{purpose}-{uuid.uuid4().hex}"
 
 
