@@ -94,7 +94,7 @@ class Items:
         """The sampled symbols of each window's walk, as one number. Rows are windows of one size."""
         size = windows.shape[1]
         rng = np.random.default_rng([self.seed, size, repeat])
-        places = np.sort(rng.choice(2 * size, _SAMPLED, replace=False))
+        places = np.sort(rng.choice(2 * size, min(_SAMPLED, 2 * size), replace=False))
         step_seed = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
         key = np.zeros(len(windows), np.uint64)
         at = np.zeros(len(windows), np.int64)
@@ -160,8 +160,8 @@ class Items:
             starts = np.array(starts[:-1])
             known = np.concatenate(([0], np.cumsum(flat > 0)))
             pair = flat[:-1] << 32 | flat[1:]
-            near = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-            twos = np.concatenate(([0], np.cumsum(self.pairs[near] == pair)))
+            pairs = np.append(self.pairs, -1)
+            twos = np.concatenate(([0], np.cumsum(pairs[np.searchsorted(self.pairs, pair)] == pair)))
             total = len(flat) - longest
             candidates: dict[int, list[np.ndarray]] = {}
             for size in self.sizes:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash, toxicity
+from . import ann, bpe, chat, decontaminate, langid, phrases, repeats, secrets, simhash, suffix, toxicity
 from .frames import read, slices, texts
 
 #: The tokenizer of op10; its file stays where it is installed.
@@ -75,6 +75,165 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of conversations, read back from the turns and examples as written."""
+    odd = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame(
+        [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"
+    )
+    table = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
+    )
+    turns = chat.render(table.unionByName(own))
+    schema = (
+        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+        "formatted_chars long, n_examples long, example_chars long"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, state = None, None
+        done: list[tuple] = []
+
+        def close() -> None:
+            n, turns_, loss, loss_n, chars, n_examples, example_chars = state
+            done.append((conv, n, turns_.hexdigest(), loss_n, loss.hexdigest(), chars, n_examples, example_chars))
+
+        def flush() -> pa.RecordBatch:
+            columns = [list(c) for c in zip(*done)] or [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3]
+            done.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in schema.split(", ")]
+            )
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if state is None or row["conv_id"] != conv:
+                    if state is not None:
+                        close()
+                    conv, state = row["conv_id"], [0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0]
+                role, text = chat.read_turn(row["piece"])
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+                if row["loss_start"] is not None:
+                    a, b = row["loss_start"] - row["start"], row["loss_end"] - row["start"]
+                    trained = chat.unescape(row["piece"][a:b])
+                    state[2].update(trained.encode())
+                    state[3] += len(trained)
+                    state[5] += 1
+                    state[6] += row["start"] + len(row["piece"])
+                state[4] += len(row["piece"])
+            yield flush()
+        if state is not None:
+            close()
+        yield flush()
+
+    return turns.sortWithinPartitions("conv_id", "position").mapInArrow(run, schema)
+
+
+_WRITTEN = "replace(replace({}, chr(92), repeat(chr(92), 2)), '|', chr(92) || 'p')"
+
+OP7_SQL = f"""
+WITH all_turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'
+), sized AS (
+    SELECT *, length({_WRITTEN.format("role")}) + length({_WRITTEN.format("text")}) + 11 AS chars FROM all_turns
+), ended AS (
+    SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars,
+    count(*) FILTER (role = 'assistant') AS n_examples,
+    CAST(coalesce(sum(upto) FILTER (role = 'assistant'), 0) AS BIGINT) AS example_chars
+FROM ended GROUP BY conv_id
+"""
+
+
+def op1_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.usable(read(spark, sf_dir, "embeddings"))
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+OP1_SQL = """
+WITH kept AS (
+    SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    GROUP BY vec_id
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+    FROM kept q JOIN kept c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+    FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages and documents, ``doc_id`` or ``page_id`` filled."""
+    documents = read(spark, sf_dir, "documents")
+    model = langid.train(documents)
+    pages = langid.from_pages(read(spark, sf_dir, "pages"))
+    own = langid.from_documents(documents)
+    return langid.identify(pages.unionByName(own), model)
+
+
+def _kept_digest(words: bool, window: int, column: str) -> tuple[str, Callable]:
+    """Schema and function from rows of ``repeats.with_ranges`` to the digest of what is kept."""
+    fields = f"doc_id long, {column} long, n_removed long, " + ("" if words else "n_spans long, ") + "kept_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            size, removed, spans, digest = [], [], [], []
+            for row in batch.to_pylist():
+                raw = row["text"].encode()
+                units = raw.split() if words else raw
+                n = len(units)
+                whole = row["doc_id"] != row["rep_id"] if words else row["copies"] > 1
+                cut: list[list[int]] = []
+                for r in row["ranges"] or ():
+                    if cut and r["start"] <= cut[-1][1]:
+                        cut[-1][1] = max(cut[-1][1], r["end"])
+                    else:
+                        cut.append([r["start"], r["end"]])
+                if whole and n >= window:
+                    cut = [[0, n]]
+                ends = [0, *(b for _, b in cut)]
+                parts = [units[a:b] for a, b in zip(ends, [*(a for a, _ in cut), n])]
+                kept = b" ".join(w for p in parts for w in p) if words else b"".join(parts)
+                size.append(n)
+                removed.append(sum(b - a for a, b in cut))
+                spans.append(len(cut))
+                digest.append(hashlib.sha256(kept).hexdigest())
+            numbers = [size, removed] if words else [size, removed, spans]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in numbers), pa.array(digest, pa.string())],
+                [f.split()[0] for f in fields.split(", ")],
+            )
+
+    return fields, run
+
+
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.keyed(read(spark, sf_dir, "documents"))
+    fields, run = _kept_digest(False, 200, "n_bytes")
+    return repeats.with_ranges(rows, suffix.covered(rows, window=200)).mapInArrow(run, fields)
+
+
+def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.keyed(read(spark, sf_dir, "documents"))
+    fields, run = _kept_digest(True, 20, "n_words")
+    return repeats.with_ranges(rows, phrases.covered(rows, window=20)).mapInArrow(run, fields)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what ``bpe.encode`` and ``bpe.decode`` return."""
 
@@ -96,10 +255,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit_codes": op1_one_bit_codes,
     "op2_toxicity_chain": op2_toxicity_chain,
+    "op3_language": op3_language,
     "op4_secret_scan": op4_secret_scan,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_decontaminate": op6_decontaminate,
+    "op7_prefix_targets": op7_prefix_targets,
+    "op8_suffix_tree": op8_suffix_tree,
+    "op9_phrase_automata": op9_phrase_automata,
     "op10_bpe": op10_bpe,
 }
-ORACLE: dict[str, str] = {}
+#: The other queries have no SQL that could run on whole tables; tests hold them against brute force.
+ORACLE: dict[str, str] = {"op1_one_bit_codes": OP1_SQL, "op7_prefix_targets": OP7_SQL}

@@ -51,30 +51,46 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 80, l2: float = 0.3) -> np.ndarray:
-    """Weights of words, dense columns and constant, by accelerated gradient steps on rows ``use``."""
+def fit_logistic(x: Rows, dense: np.ndarray, y: np.ndarray, use: np.ndarray, steps: int = 60, l2: float = 1.0) -> np.ndarray:
+    """Weights of words, dense columns and constant, by limited-memory quasi-Newton steps on rows ``use``."""
     k = x.width + dense.shape[1] + 1
-    rate = max(y[use].mean() if use.any() else 0.0, 1e-4)
+    rate = y[use].mean() if use.any() else 0.0
     w = np.zeros(k)
-    w[-1] = np.log(rate / (1 - rate))
-    if rate >= 1 or rate <= 1e-4:
+    w[-1] = np.log((rate + 1e-6) / (1 - rate + 1e-6))
+    if rate in (0.0, 1.0):
         return w
-    # Diagonal curvature: a rare word may take longer steps than a common one.
-    curve = np.concatenate((x.back(use.astype(float)), (dense[use] ** 2).sum(0), [use.sum()])) * rate * (1 - rate)
-    step = 1 / (curve * 4 + l2 + 1)
     penalty = np.full(k, l2)
     penalty[-1] = 0
-    ahead, last, momentum = w.copy(), w.copy(), 1.0
-    for _ in range(steps):
-        z = x.times(ahead[: x.width]) + dense @ ahead[x.width : -1] + ahead[-1]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.clip(x.times(w[: x.width]) + dense @ w[x.width : -1] + w[-1], -500, 500)
         r = np.where(use, _sigmoid(z) - y, 0.0)
-        grad = np.concatenate((x.back(r), dense.T @ r, [r.sum()])) + penalty * ahead
-        w = ahead - step * grad
-        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = w + (momentum - 1) / following * (w - last)
-        if grad @ (w - last) > 0:
-            ahead, following = w.copy(), 1.0
-        last, momentum = w, following
+        value = np.logaddexp(0, z)[use].sum() - (z * y)[use].sum() + 0.5 * (penalty * w * w).sum()
+        return value, np.concatenate((x.back(r), dense.T @ r, [r.sum()])) + penalty * w
+
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        way, kept = grad.copy(), []
+        for s, d, rho in reversed(past):
+            kept.append(rho * (s @ way))
+            way -= kept[-1] * d
+        way *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(grad).sum())
+        for (s, d, rho), alpha in zip(past, reversed(kept)):
+            way += (alpha - rho * (d @ way)) * s
+        size, slope = 1.0, grad @ way
+        while True:
+            new_value, new_grad = loss(w - size * way)
+            if new_value <= value - 1e-4 * size * slope or size < 1e-8:
+                break
+            size /= 2
+        s, d = -size * way, new_grad - grad
+        done = value - new_value < 1e-7 * max(1.0, abs(value))
+        w, value, grad = w + s, new_value, new_grad
+        if s @ d > 1e-12:
+            past = [*past[-9:], (s, d, 1 / (s @ d))]
+        if done:
+            break
     return w
 
 
@@ -112,7 +128,7 @@ def fit_chain(words: list[set[str]], labels: np.ndarray, folds: np.ndarray, cate
     chance = {
         w: abs(hits[w] - c * share) / np.sqrt(c * share * (1 - share) + 1e-9) for w, c in total.items() if c >= 4
     }
-    chosen = sorted(chance, key=lambda w: (-chance[w], w))[:max_words]
+    chosen = sorted((w for w in chance if chance[w] >= 3), key=lambda w: (-chance[w], w))[:max_words]
     vocabulary = {w: i for i, w in enumerate(sorted(chosen))}
     known = vocabulary.keys()
     x = Rows([[vocabulary[w] for w in own & known] for own in words], len(vocabulary))
