@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from .frames import ranges, slices, texts
 
 #: Words that a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Text bytes whose words are held at once.
+BATCH = 2 << 20
 # Up to U+024F texts are in composed form and their case has the same rules everywhere.
 _PLAIN_END = 0x250
 _FURTHER = re.compile(r"[^\u0000-\u024F]")
@@ -180,16 +182,21 @@ class WordBpe:
         return " ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+def vocabulary(path: str) -> str:
+    """The contents of a vocabulary file on the driver."""
+    return Path(path).read_text()
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids``: the token ids of each text as little-endian unsigned 32-bit integers.
 
     Null text: empty. Repeated rows come back as often as they went in; other columns are ignored.
     """
-    spec = Path(path).read_text()
+    spec = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = WordBpe(spec)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             ids = [x.tobytes() for x in model.encode_batch(texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -199,11 +206,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids, text``: the decoded text beside the ids of ``encode``."""
-    spec = Path(path).read_text()
+    spec = vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = WordBpe(spec)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", BATCH):
             out = [model.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.string())], ["doc_id", "ids", "text"]

@@ -45,10 +45,6 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", *columns, (F.col("p")[2] >= chain.thresholds[2]).alias("toxic"))
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.BASE]
@@ -235,23 +231,25 @@ def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what ``bpe.encode`` and ``bpe.decode`` return."""
+    """Digests of the ids and of what they decode to, in one pass over the texts."""
+    spec = bpe.vocabulary(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            ids = batch.column("ids").to_pylist()
+        model = bpe.WordBpe(spec)
+        for batch in slices(batches, limit=bpe.BATCH):
+            ids = model.encode_batch(texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([_sha(t) for t in texts(batch)], pa.string()),
+                    pa.array(map(len, ids), pa.int64()),
+                    pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(model.decode(x).encode()).hexdigest() for x in ids], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    both = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
-    return both.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
