@@ -3,8 +3,9 @@
 An item of m words is looked for in windows of m words, at every word of every text. Words are runs
 of letters and digits in lower case, so layout and punctuation don't matter.
 
-1. Counting: a window at edit distance e has at least m - e words, and m - 1 - 2e pairs of
-   neighbouring words, that occur in items. Windows below cannot match and are left; none is lost.
+1. Counting: a window within e edits of an item shares at least m - q + 1 - q * e runs of q words with
+   it, for q of 1 to 3. Windows that have fewer such runs of any item, or fewer of items of their
+   size, cannot match and are left; none is lost.
 2. CGK: a random walk copies a window into a string of 3m symbols, at each step going on to the next
    word or not, by a random bit of step and word. Strings at a small edit distance become strings at
    a small Hamming distance.
@@ -37,12 +38,27 @@ from .frames import mix, slices, texts
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SAMPLED = 3
+#: Text bytes that are searched at once.
+_BATCH = 16 << 20
+#: Longest run of words that is counted. Word numbers fit 21 bits, so that a run is one number.
+_RUN = 3
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def runs_of(symbols: np.ndarray, q: int) -> np.ndarray:
+    """The runs of ``q`` words at each place, as numbers."""
+    n = max(0, len(symbols) - q + 1)
+    return sum(symbols[i : i + n] << (21 * (q - 1 - i)) for i in range(q))
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted ``table``."""
+    return np.append(table, -1)[np.searchsorted(table, values)] == values
+
+
 def edit_distances(item: np.ndarray, windows: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
     """Word edit distance of ``item`` to each row of ``windows``, at the best end of the row."""
     width = windows.shape[1]
@@ -68,7 +84,7 @@ class Items:
     repeats: int
     seed: int
     sizes: dict[int, list[int]] = field(default_factory=dict)
-    pairs: np.ndarray | None = None
+    runs: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], max_edit: float, target_recall: float, seed: int) -> Items:
@@ -82,8 +98,11 @@ class Items:
         items = cls(names, symbols, vocabulary, max_edit, 1, seed)
         for i, s in enumerate(symbols):
             items.sizes.setdefault(len(s), []).append(i)
+        for q in range(1, _RUN + 1):
+            for size, members in [(0, range(len(symbols))), *items.sizes.items()]:
+                own = [runs_of(symbols[i], q) for i in members if len(symbols[i]) >= q]
+                items.runs[size, q] = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
         if symbols:
-            items.pairs = np.unique(np.concatenate([s[:-1] << 32 | s[1:] for s in symbols]))
             items.repeats = items._repeats_for(target_recall)
         return items
 
@@ -94,17 +113,17 @@ class Items:
         """The sampled symbols of each window's walk, as one number. Rows are windows of one size."""
         size = windows.shape[1]
         rng = np.random.default_rng([self.seed, size, repeat])
-        places = np.sort(rng.choice(2 * size, min(_SAMPLED, 2 * size), replace=False))
-        step_seed = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        places = np.sort(rng.choice(2 * size, min(_SAMPLED, 2 * size), replace=False)).tolist()
+        # Past its end a window goes on with zeros. The bits of 64 steps of a word are one number.
+        symbols = np.concatenate((windows, np.zeros((len(windows), 1), windows.dtype)), 1).astype(np.uint64)
+        rows, at = np.arange(len(windows)), np.zeros(len(windows), np.int64)
         key = np.zeros(len(windows), np.uint64)
-        at = np.zeros(len(windows), np.int64)
-        rows = np.arange(len(windows))
-        for step in range(int(places[-1]) + 1):
-            inside = at < size
-            symbol = np.where(inside, windows[rows, np.minimum(at, size - 1)], 0).astype(np.uint64)
+        for step in range(places[-1] + 1):
+            if step % 64 == 0:
+                bits = mix(symbols + rng.integers(0, 2**63, dtype=np.uint64))
             if step in places:
-                key = mix(key ^ mix(symbol + np.uint64(step + 1)))
-            at = at + (mix(symbol ^ step_seed[step]) & np.uint64(1)).astype(np.int64)
+                key = mix(key ^ mix(symbols[rows, at] + np.uint64(step + 1)))
+            at = np.minimum(at + ((bits[rows, at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64), size)
         return key
 
     def _repeats_for(self, target: float) -> int:
@@ -158,23 +177,35 @@ class Items:
             flat = np.concatenate(symbols)
             ends = np.array(starts[1:]) - margin
             starts = np.array(starts[:-1])
-            known = np.concatenate(([0], np.cumsum(flat > 0)))
-            pair = flat[:-1] << 32 | flat[1:]
-            pairs = np.append(self.pairs, -1)
-            twos = np.concatenate(([0], np.cumsum(pairs[np.searchsorted(self.pairs, pair)] == pair)))
+            # A run can only be an item's if the shorter run at its place is.
+            found = flat > 0
+            counts = {1: np.concatenate(([0], np.cumsum(found)))}
+            for q in range(2, _RUN + 1):
+                at = np.flatnonzero(found[: len(flat) - q + 1])
+                found = np.zeros(len(flat), bool)
+                run = sum(flat[at + i] << (21 * (q - 1 - i)) for i in range(q))
+                found[at] = _among(run, self.runs[0, q])
+                counts[q] = np.concatenate(([0], np.cumsum(found)))
             total = len(flat) - longest
             candidates: dict[int, list[np.ndarray]] = {}
             for size in self.sizes:
                 budget = self.budget(size)
-                enough = twos[size - 1 : size - 1 + total] - twos[:total] >= size - 1 - 2 * budget
-                enough &= known[size : size + total] - known[:total] >= size - budget
-                at = np.flatnonzero(enough)
-                if not len(at):
-                    continue
+                at = None
+                for q in range(min(_RUN, size), 0, -1):
+                    width, least = size - q + 1, size - q + 1 - q * budget
+                    if at is None:
+                        at = np.flatnonzero(counts[q][width : width + total] - counts[q][:total] >= least)
+                    else:
+                        at = at[counts[q][at + width] - counts[q][at] >= least]
                 for a in range(0, len(at), 1 << 16):
                     some = at[a : a + (1 << 16)]
+                    for q in range(min(_RUN, size), 0, -1):
+                        width = size - q + 1
+                        places_ = some[:, None] + np.arange(width)
+                        run = sum(flat[places_ + i] << (21 * (q - 1 - i)) for i in range(q))
+                        some = some[_among(run, self.runs[size, q]).sum(1) >= width - q * budget]
                     windows = flat[some[:, None] + np.arange(size)]
-                    for repeat in range(self.repeats):
+                    for repeat in range(self.repeats if len(some) else 0):
                         keys = self.keys(windows, repeat)
                         table, members = tables[size, repeat]
                         lo = np.searchsorted(table, keys, side="left")
@@ -235,7 +266,7 @@ def leaks(
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             find = items.finder()
-            for batch in slices(batches):
+            for batch in slices(batches, limit=_BATCH):
                 hits = find(texts(batch))
                 doc, rest = [h[0] for h in hits], list(zip(*[h[1:] for h in hits])) or [[]] * 4
                 ids = batch.column("doc_id").take(pa.array(doc, pa.int64()))
@@ -264,7 +295,7 @@ def without_leaks(
                 lengths = [len(t or "") for t in text]
                 for i, n in enumerate(lengths):
                     size += n
-                    if size >= 8 << 20 or i + 1 == len(lengths):
+                    if size >= _BATCH or i + 1 == len(lengths):
                         found = find([t or "" for t in text.iloc[at : i + 1]])
                         free[[at + h[0] for h in found]] = False
                         size, at = 0, i + 1
