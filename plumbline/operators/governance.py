@@ -144,6 +144,7 @@ def check_against(dataset: Dataset, tables: dict[str, DataFrame]) -> None:
     """
     from plumbline.operators.metric import unnest
 
+    reached: dict[str, Exception | None] = {}
     for metric in dataset.metrics:
         table = dataset.table(metric.table)
         rows = tables[metric.table]
@@ -152,4 +153,22 @@ def check_against(dataset: Dataset, tables: dict[str, DataFrame]) -> None:
         rows = unnest(rows, metric.unnest)
         for name in metric.default_segments:
             rows = rows.where(dataset.segment(name).predicate)
+        for segment in dataset.segments:
+            _resolve(segment, metric, rows, reached)
         rows.agg(F.expr(metric.expression).alias(metric.name)).schema
+    for name, error in reached.items():
+        if error is not None:
+            raise error
+
+
+def _resolve(segment: Segment, metric: "Metric", rows: DataFrame, reached: dict) -> None:
+    """Note whether ``segment`` fits the rows of a metric. It must fit those of one at least."""
+    from pyspark.errors import AnalysisException
+
+    if segment.name in reached and reached[segment.name] is None:
+        return
+    try:
+        rows.where(segment.predicate).schema
+        reached[segment.name] = None
+    except AnalysisException as error:
+        reached[segment.name] = error

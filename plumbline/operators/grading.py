@@ -17,22 +17,23 @@ def grade_texts(
     needle)`` has kind ``contains`` or ``absent``. A case without assertions
     passes. An assertion about a case that has no text fails.
 
-    Texts are moved once. A match leaves the join as two numbers, and is summed
-    per case and chunk before the cases are put together.
+    Repeated assertions are counted first, so a case that repeats a needle costs one row.
+    A match leaves the join as two numbers, and is summed per case and chunk before the
+    cases are put together.
     """
-    checked = left_join_hot_keys(assertions, texts, "case_id", "needle", rows_per_chunk)
+    distinct = assertions.groupBy("case_id", "kind", "needle").agg(F.count(F.lit(1)).alias("n"))
+    checked = left_join_hot_keys(distinct, texts, "case_id", "needle", rows_per_chunk)
     found = F.contains("text", "needle")
     holds = F.coalesce(
         F.when(F.col("kind") == "contains", found).when(F.col("kind") == "absent", ~found),
         F.lit(False),
     )
-    graded = checked.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n_assert"), F.count_if(holds).alias("n_passed")
-    )
     zero = F.lit(0).cast("long")
-    unasserted = texts.select("case_id").join(
-        assertions.select("case_id").distinct(), "case_id", "left_anti"
-    ).select("case_id", zero.alias("n_assert"), zero.alias("n_passed"))
-    return graded.unionByName(unasserted).withColumn(
-        "passed", F.col("n_assert") == F.col("n_passed")
+    graded = checked.select("case_id", "n", F.when(holds, F.col("n")).otherwise(zero).alias("held"))
+    bare = texts.select("case_id", zero.alias("n"), zero.alias("held"))
+    return (
+        graded.unionByName(bare)
+        .groupBy("case_id")
+        .agg(F.sum("n").alias("n_assert"), F.sum("held").alias("n_passed"))
+        .withColumn("passed", F.col("n_assert") == F.col("n_passed"))
     )

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.plans.lifecycle import Sources, staged_accounts
+from plumbline.plans.lifecycle import Sources, latest_day, staged_accounts
 
 # The categories of the report and the verdicts.
 GRAIN = "1 grain"
@@ -68,10 +68,12 @@ def orphans(children: Sequence[DataFrame], parent: DataFrame, key: str) -> DataF
     """Distinct keys of the children that the parent does not have.
 
     An anti join, not ``NOT IN``: a NULL in the parent would make that empty.
-    Keys are distinct before the join, so no key is heavier than another.
+    Keys are distinct on both sides before the join, by an aggregate with a map-side step,
+    so no key is heavier than another.
     """
     ids = reduce(DataFrame.unionAll, (child.select(key) for child in children))
-    return ids.where(F.col(key).isNotNull()).distinct().join(parent.select(key), key, "left_anti")
+    known = parent.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").select(key)
+    return ids.where(F.col(key).isNotNull()).distinct().join(known, key, "left_anti")
 
 
 def null_state(datelist: DataFrame) -> DataFrame:
@@ -82,35 +84,58 @@ def null_state(datelist: DataFrame) -> DataFrame:
     return datelist.agg(F.count_if(bad).alias("violations"))
 
 
+def _per_account(datelist: DataFrame) -> DataFrame:
+    """What the checks need of each account, in one pass over a stored history."""
+    bad_state = F.col("is_open").isNull() | (
+        F.col("is_open") & (F.col("snapshot_date") < F.col("created_date"))
+    )
+    return (
+        datelist.groupBy("account_id", "snapshot_date")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(bad_state).alias("bad"))
+        .groupBy("account_id")
+        .agg(
+            F.sum("n").alias("days"),
+            F.count_if(F.col("n") > 1).alias("duplicates"),
+            F.sum("bad").alias("bad"),
+            F.min("snapshot_date").alias("first_day"),
+            F.max("snapshot_date").alias("last_day"),
+        )
+    )
+
+
+def _broken(last: Column) -> Column:
+    return (
+        (F.col("days") != F.date_diff(last, F.col("created_date")) + 1)
+        | (F.col("first_day") != F.col("created_date"))
+        | (F.col("last_day") != last)
+    )
+
+
 def reconcile_counts(datelist: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Distinct accounts in the history next to those in the source."""
-    modelled = datelist.agg(F.count_distinct("account_id").alias("n")).scalar()
-    return accounts.agg(F.count_distinct("account_id").alias("source")).select(
-        "source", modelled.alias("modelled")
+    """Distinct accounts in the history next to those in the source, from one union."""
+    sides = datelist.select("account_id", F.lit(0).alias("side")).unionAll(
+        accounts.select("account_id", F.lit(1).alias("side"))
+    )
+    return sides.groupBy("account_id").agg(F.max("side").alias("source"), F.min("side").alias("modelled")).agg(
+        F.sum("source").cast("long").alias("source"), F.count_if(F.col("modelled") == 0).alias("modelled")
     )
 
 
-def broken_spines(datelist: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Accounts whose days are not exactly all days from creation to the last snapshot.
+def broken_spines(datelist: DataFrame, accounts: DataFrame, last: Column) -> DataFrame:
+    """Accounts whose days are not exactly all days from creation to the ``last`` one.
 
     Reduced to one row per account before the join.
     """
-    last = datelist.agg(F.max("snapshot_date").alias("d")).scalar()
     spans = datelist.groupBy("account_id").agg(
         F.count(F.lit(1)).alias("days"),
         F.min("snapshot_date").alias("first_day"),
         F.max("snapshot_date").alias("last_day"),
     )
-    expected = F.date_diff(last, F.col("created_date")) + 1
+    expected = (F.date_diff(last, F.col("created_date")) + 1).cast("long")
     return (
         spans.join(accounts.select("account_id", "created_date"), "account_id")
-        .where(
-            (F.col("days") != expected)
-            | (F.col("first_day") != F.col("created_date"))
-            | (F.col("last_day") != last)
-        )
-        .select("account_id", "days", expected.cast("long").alias("expected_days"), "first_day",
-                "last_day")
+        .where(_broken(last))
+        .select("account_id", "days", expected.alias("expected_days"), "first_day", "last_day")
     )
 
 
@@ -122,32 +147,12 @@ def transactions_before_creation(sources: Sources) -> DataFrame:
     )
 
 
-def _history_checks(datelist: DataFrame, accounts: DataFrame) -> DataFrame:
+def _history_checks(datelist: DataFrame, accounts: DataFrame, last: Column) -> DataFrame:
     """Grain, status, spine and account count of a stored history in one pass over it."""
-    bad_state = F.col("is_open").isNull() | (
-        F.col("is_open") & (F.col("snapshot_date") < F.col("created_date"))
-    )
-    per_account = (
-        datelist.groupBy("account_id", "snapshot_date")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(bad_state).alias("bad"))
-        .groupBy("account_id")
-        .agg(
-            F.sum("n").alias("days"),
-            F.count_if(F.col("n") > 1).alias("duplicates"),
-            F.sum("bad").alias("bad"),
-            F.min("snapshot_date").alias("first_day"),
-            F.max("snapshot_date").alias("last_day"),
-        )
-    )
-    last = datelist.agg(F.max("snapshot_date").alias("d")).scalar()
-    both = per_account.withColumn("modelled", F.lit(True)).join(
+    both = _per_account(datelist).withColumn("modelled", F.lit(True)).join(
         accounts.select("account_id", "created_date"), "account_id", "full_outer"
     )
-    broken = (
-        (F.col("days") != F.date_diff(last, F.col("created_date")) + 1)
-        | (F.col("first_day") != F.col("created_date"))
-        | (F.col("last_day") != last)
-    )
+    broken = _broken(last)
     counters = both.agg(
         F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
@@ -176,18 +181,27 @@ def _history_checks(datelist: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def account_checks(
-    sources: Sources, datelist: DataFrame, known_types: Sequence[str]
+    sources: Sources, datelist: DataFrame, known_types: Sequence[str], last: Column | None = None
 ) -> DataFrame:
     """All checks of the account model: six blocking groups, two advisory ones.
 
-    Give ``datelist`` as read back from storage: the checks judge what was written.
+    Give ``datelist`` as read back from storage: the checks judge what was written, in one pass
+    over it. ``last`` is the last day it should have; by default that of the sources.
     """
-    accounts = staged_accounts(sources.created).select("account_id", "created_date")
+    last = latest_day(sources).scalar() if last is None else last
+    staged = staged_accounts(sources.created)
+    accounts = staged.select("account_id", "created_date")
     missing = orphans([sources.closed, sources.transactions], sources.created, "account_id")
     early = transactions_before_creation(sources)
     count = F.count(F.lit(1))
     parts = [
-        _history_checks(datelist, accounts),
+        _history_checks(datelist, accounts, last),
+        as_check(
+            unexpected_values(staged, "account_type", known_types),
+            "violations",
+            "unknown_account_types",
+            DRIFT,
+        ),
         as_check(
             duplicate_keys(sources.transactions, ["account_id", "txn_date"]),
             "violations",
@@ -202,12 +216,6 @@ def account_checks(
             blocking=False,
         ),
         as_check(missing.agg(count.alias("n")), "n", "orphans", INTEGRITY),
-        as_check(
-            unexpected_values(datelist, "account_type", known_types),
-            "violations",
-            "unknown_account_types",
-            DRIFT,
-        ),
         as_check(
             out_of_range(sources.transactions, "txn_count", *TXN_COUNT_RANGE),
             "violations",

@@ -6,33 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = 100_000
-MOST_HOT_KEYS = 4096
 
 
 def left_join_hot_keys(
     many: DataFrame, one: DataFrame, key: str, spread: str, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """``many`` left join ``one`` (unique on ``key``), with hot keys of ``many`` split.
+    """``many`` left join ``one`` (unique on ``key``), with every key split into chunks.
 
-    A key is hot if it has more than ``rows_per_chunk`` rows and more than one in
-    ``MOST_HOT_KEYS`` of all rows. It is divided by the hash of ``spread``, and its
-    single row on the other side is repeated once per chunk. All other keys join
-    as they are, and the result is the plain join, whole.
-
-    Fewer than ``MOST_HOT_KEYS`` keys can each hold that share, whatever the size
-    of the data. That bound is what allows the list of hot keys to be broadcast,
-    and with it ``one`` is shuffled once, for the join itself.
+    A key with n rows is divided into ``ceil(n / rows_per_chunk)`` chunks by the hash of
+    ``spread``, which should be distinct within a key, and its row on the other side is
+    repeated once per chunk. A chunk has about ``rows_per_chunk`` rows whatever the size of
+    the data; the result is the plain join, whole.
     """
-    total = many.agg(F.count(F.lit(1)).alias("n")).scalar()
-    size = F.greatest(F.lit(rows_per_chunk).cast("long"), F.ceil(total / MOST_HOT_KEYS))
-    hot = F.broadcast(
-        many.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > size)
-        .select(key, F.ceil(F.col("_rows") / size).cast("int").alias("_chunks"))
+    chunks = many.groupBy(key).agg(
+        F.ceil(F.count(F.lit(1)) / rows_per_chunk).cast("int").alias("_chunks")
     )
     chunk = F.pmod(F.xxhash64(spread), F.coalesce("_chunks", F.lit(1))).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1))
-    left = many.join(hot, key, "left").withColumn("_chunk", chunk).drop("_chunks")
-    right = one.join(hot, key, "left").withColumn("_chunk", copies).drop("_chunks")
+    left = many.join(chunks, key, "left").withColumn("_chunk", chunk).drop("_chunks")
+    right = one.join(chunks, key, "left").withColumn("_chunk", copies).drop("_chunks")
     return left.join(right, [key, "_chunk"], "left").drop("_chunk")

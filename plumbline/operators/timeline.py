@@ -31,6 +31,22 @@ def spine(entities: DataFrame, first: str, last: Column, day: str = "day") -> Da
     return entities.where(F.col(first) <= last).withColumn(day, F.explode(days))
 
 
+def spine_with_facts(
+    entities: DataFrame, facts: DataFrame, key: str, first: str, last: Column,
+    fact_day: str, value: str, day: str = "day",
+) -> DataFrame:
+    """``key, day, value``: the spine of each entity with its fact of the day, or NULL.
+
+    ``facts`` has one row per key and day. They meet their entity before its days are unfolded, as
+    a map by day that the calendar bounds, so no dense row is shuffled or broadcast.
+    """
+    by_day = facts.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct(fact_day, value))).alias("_facts")
+    )
+    met = place_by(entities.select(key, first), key).join(by_day, key, "left")
+    return spine(met, first, last, day).select(key, day, F.col("_facts")[F.col(day)].alias(value))
+
+
 def segments_to_days(segments: DataFrame, start: str, end: str, day: str) -> DataFrame:
     """Unfold ``[start, end]`` stretches into days, dropping the two bounds."""
     days = F.sequence(F.col(start), F.col(end), F.expr("interval 1 day"))

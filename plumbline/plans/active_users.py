@@ -19,9 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import safe_divide
-from plumbline.functions.scalars import bucket_labels
 from plumbline.operators.timeline import place_by, segments_to_days
-from plumbline.plans.lifecycle import DEFAULT_EDGES
 
 ROLLED_UP = "ALL"  # fixed value: marks a dimension that a row of the cube is not split by
 
@@ -106,6 +104,22 @@ def user_stretches(segments: DataFrame, last_day: Column, unit: str = "month") -
     )
 
 
+def at_month_ends(stretches: DataFrame, last_day: Column) -> DataFrame:
+    """The stretches cut down to the last day of each month, or ``last_day`` in the last one.
+
+    What is read off at month ends needs a thirtieth of the days unfolded.
+    """
+    months = F.sequence(F.trunc("start_day", "month"), F.col("end_day"), F.expr("interval 1 month"))
+    kept = [c for c in stretches.columns if c not in ("start_day", "end_day")]
+    day = F.least(F.last_day("_month"), last_day)
+    return (
+        stretches.withColumn("_month", F.explode(months))
+        .withColumn("_day", day)
+        .where(F.col("_day").between(F.col("start_day"), F.col("end_day")))
+        .select(*kept, F.col("_day").alias("start_day"), F.col("_day").alias("end_day"))
+    )
+
+
 def user_days(stretches: DataFrame) -> DataFrame:
     """One row per user, type, age bucket and day; partitioned by user."""
     return segments_to_days(stretches, "start_day", "end_day", "snapshot_date")
@@ -116,6 +130,18 @@ def user_daily(days: DataFrame) -> DataFrame:
     return days.groupBy("snapshot_date", "user_id").agg(*(F.max(f).alias(f) for f in FLAGS))
 
 
+def user_days_with_flags(days: DataFrame) -> DataFrame:
+    """The bridge with the user's activity of the day beside it.
+
+    The flags are a maximum over the rows of a user and day, in the task that holds the user.
+    """
+    whole = W.partitionBy("user_id", "snapshot_date")
+    flagged = days.withColumns({f: F.max(f).over(whole) for f in FLAGS})
+    return flagged.where("is_open").select(
+        "snapshot_date", "user_id", "account_type", "account_age_bucket", "signup_cohort", *FLAGS
+    )
+
+
 def user_daily_bridge(days: DataFrame) -> DataFrame:
     """Each user with an open account, per day and dimension of those accounts.
 
@@ -129,13 +155,9 @@ def user_daily_bridge(days: DataFrame) -> DataFrame:
 # The cells of the cube, by grouping set: all, cohort, type, age bucket, type by age bucket.
 ALL_SET, COHORT_SET, TYPE_SET, BUCKET_SET, BOTH_SET = range(5)
 
-FLAG_BIT = 60  # a state is a long: open (type, bucket) pairs below, activity flags from here up
-
-
 def active_user_cube(
     stretches: DataFrame,
     account_types: Sequence[str] | None = None,
-    edges: Sequence[int] = DEFAULT_EDGES,
 ) -> DataFrame:
     """Open users, active users and their rates per day over five grouping sets:
     everything, type, age bucket, cohort, and type by age bucket.
@@ -146,16 +168,15 @@ def active_user_cube(
     per state, and only the counted states are spread over the cells: the
     distinct counts become sums and the shuffles carry states, not users.
 
-    With the known ``account_types`` a state is one number and is formed by a hash
-    aggregate; a type outside them is an error, as it is for the quality gate.
-    Without them, or with more than fit, a state holds the pairs themselves.
+    With ``account_types`` given, any number of them, a type outside them is an
+    error, as it is for the quality gate; without them any type is taken.
     """
-    pairs = [(t, b) for t in account_types or () for b in bucket_labels(edges)]
-    if 0 < len(pairs) <= FLAG_BIT:
-        cells = _cells_of_numbered_states(stretches, pairs)
-    else:
-        cells = _cells_of_listed_states(stretches)
-    counts = cells.groupBy(
+    if account_types is not None:
+        message = F.concat(F.lit("unknown account type: "), F.coalesce("account_type", F.lit("NULL")))
+        known = F.coalesce(F.col("account_type").isin(*account_types), F.lit(False))
+        checked = F.when(known, F.col("account_type")).otherwise(F.raise_error(message))
+        stretches = stretches.withColumn("account_type", checked)
+    counts = _cells(stretches).groupBy(
         "snapshot_date",
         "grouping_set",
         "account_type",
@@ -181,71 +202,7 @@ def active_user_cube(
     )
 
 
-def _cells_of_numbered_states(stretches: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """``(snapshot_date, cohort, users, flags, cell)`` with states as numbers."""
-    types, buckets = (list(dict.fromkeys(column)) for column in zip(*pairs))
-
-    def listed(values: Sequence[str]) -> str:
-        return "array({})".format(", ".join(_quoted(v) for v in values))
-
-    number = (
-        f"int(array_position({listed(types)}, account_type) - 1) * {len(buckets)}"
-        f" + int(array_position({listed(buckets)}, account_age_bucket) - 1)"
-    )
-    pair = (
-        f"CASE WHEN array_contains({listed(types)}, account_type)"
-        f" AND array_contains({listed(buckets)}, account_age_bucket)"
-        f" THEN shiftleft(1L, {number})"
-        " ELSE bigint(raise_error(concat('unknown account type or bucket: ', account_type,"
-        " ', ', account_age_bucket))) END"
-    )
-    flags = " + ".join(f"shiftleft(bigint({f}), {FLAG_BIT + n})" for n, f in enumerate(FLAGS))
-    numbered = stretches.selectExpr(
-        "user_id",
-        "signup_cohort AS cohort",
-        "start_day",
-        "end_day",
-        f"if(is_open, {pair}, 0L * {pair}) + {flags} AS state",
-    )
-    per_user = (
-        segments_to_days(numbered, "start_day", "end_day", "snapshot_date")
-        .groupBy("user_id", "cohort", "snapshot_date")
-        .agg(F.bit_or("state").alias("state"))
-        .where(f"state & {(1 << len(pairs)) - 1}L <> 0")
-    )
-    states = per_user.groupBy("snapshot_date", "cohort", "state").agg(
-        F.count(F.lit(1)).alias("users")
-    )
-
-    def cell(grouping_set: int, kind: str | None = None, bucket: str | None = None) -> str:
-        mask = sum(
-            1 << n
-            for n, (t, b) in enumerate(pairs)
-            if kind in (None, t) and bucket in (None, b)
-        )
-        return (
-            f"named_struct('grouping_set', {grouping_set},"
-            f" 'account_type', {_quoted(kind or ROLLED_UP)},"
-            f" 'account_age_bucket', {_quoted(bucket or ROLLED_UP)}, 'mask', {mask}L)"
-        )
-
-    cells = [cell(ALL_SET), cell(COHORT_SET)]
-    cells += [cell(TYPE_SET, kind=t) for t in types]
-    cells += [cell(BUCKET_SET, bucket=b) for b in buckets]
-    cells += [cell(BOTH_SET, t, b) for t, b in pairs]
-    return states.selectExpr(
-        "snapshot_date",
-        "cohort",
-        "users",
-        *(
-            f"shiftrightunsigned(state, {FLAG_BIT + n}) & 1 AS {flag}"
-            for n, flag in enumerate(FLAGS)
-        ),
-        f"inline(filter(array({', '.join(cells)}), c -> state & c.mask <> 0))",
-    )
-
-
-def _cells_of_listed_states(stretches: DataFrame) -> DataFrame:
+def _cells(stretches: DataFrame) -> DataFrame:
     """``(snapshot_date, cohort, users, flags, cell)`` with states as lists of pairs."""
     pair = F.struct("account_type", "account_age_bucket")
     per_user = (
@@ -297,52 +254,14 @@ def headline_rate(cube: DataFrame) -> DataFrame:
     )
 
 
-def cube_latest(cube: DataFrame) -> DataFrame:
-    """Type by age bucket on the last day of the cube."""
-    last = cube.agg(F.max("snapshot_date").alias("d")).scalar()
+def cube_latest(cube: DataFrame, last_day: Column) -> DataFrame:
+    """Type by age bucket on ``last_day``, the last of the cube: every account is there to the end."""
     split = ("account_type", "account_age_bucket")
-    rows = cube_slice(cube.where(F.col("snapshot_date") == last), split)
+    rows = cube_slice(cube.where(F.col("snapshot_date") == last_day), split)
     return rows.select(
         *split, "open_users", "active_users_7d_count", "active_users_7d_rate"
     ).orderBy(*split)
 
 
-def _quoted(text: str) -> str:
-    """A string literal of Spark SQL."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _users(flag: str) -> str:
     return flag.replace("active", "active_users")
-
-
-def cube_slice(cube: DataFrame, split_by: Sequence[str] = ()) -> DataFrame:
-    """The rows of one grouping set: split by ``split_by``, rolled up elsewhere, in date order."""
-    for name in ("account_type", "account_age_bucket", "signup_cohort"):
-        rolled_up = F.col(name) == ROLLED_UP
-        cube = cube.where(~rolled_up if name in split_by else rolled_up)
-    return cube.orderBy("snapshot_date", *split_by)
-
-
-def headline_rate(cube: DataFrame) -> DataFrame:
-    """The overall series."""
-    return cube_slice(cube).select(
-        "snapshot_date",
-        "open_users",
-        *(f"{_users(f)}_count" for f in FLAGS),
-        *(f"{_users(f)}_rate" for f in FLAGS),
-    )
-
-
-def cube_latest(cube: DataFrame) -> DataFrame:
-    """Type by age bucket on the last day of the cube."""
-    last = cube.agg(F.max("snapshot_date").alias("d")).scalar()
-    rows = cube_slice(cube.where(F.col("snapshot_date") == last),
-                      ("account_type", "account_age_bucket"))
-    return rows.select(
-        "account_type",
-        "account_age_bucket",
-        "open_users",
-        "active_users_7d_count",
-        "active_users_7d_rate",
-    ).orderBy("account_type", "account_age_bucket")

@@ -7,7 +7,13 @@ A day needs the previous day's partition and two more: activity leaves the
 
 Three partitions are read instead of 28 and one is written, in place, so a run
 can be repeated. Events must arrive on their day: one that comes late for a day
-already built needs that day, and those after it, built again.
+already built needs that day, and those after it, built again in order. Building
+a day leaves later ones as they are, so until they are built again they still
+stand for the old state of that day.
+
+A day is not built on a gap: without the partition of the day before, accounts
+would be lost, and without those of 7 and 28 days before, activity would never
+leave its window.
 """
 
 from __future__ import annotations
@@ -129,6 +135,25 @@ def next_day(
     )
 
 
+class MissingDay(RuntimeError):
+    """A partition that a day is built from is not in the store. Nothing was written."""
+
+
+def require_days(history: DataFrame, day: dt.date) -> None:
+    """Raise unless the store holds what ``day`` is built from: the day before, and those 7 and 28
+    days before where the store goes back that far.
+
+    Brings at most three dates and the first stored one to the driver, read from the partitions.
+    """
+    before = [day - dt.timedelta(days=n) for n in (1, 7, 28)]
+    date = F.col("snapshot_date").cast("date")
+    found = history.agg(F.min(date).alias("first"), F.collect_set(F.when(date.isin(*before), date)).alias("days")).first()
+    needed = [d for d in before if d == before[0] or (found.first is not None and d >= found.first)]
+    missing = sorted(set(needed) - set(found.days))
+    if missing:
+        raise MissingDay(f"{day} needs the partitions of {', '.join(map(str, missing))}: build them first")
+
+
 def build_day(
     spark: SparkSession,
     path: str,
@@ -137,7 +162,9 @@ def build_day(
     edges: Sequence[int] = DEFAULT_EDGES,
 ) -> None:
     """Write the partition of ``day`` into the store at ``path``, replacing only that partition."""
-    partition = next_day(spark.read.parquet(path), sources, day, edges)
+    history = spark.read.parquet(path)
+    require_days(history, day)
+    partition = next_day(history, sources, day, edges)
     (
         partition.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

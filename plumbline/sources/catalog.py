@@ -1,16 +1,22 @@
-"""What data there is, from file listings and footers: no data page is read."""
+"""What data there is, from file listings and row counts: no data column is read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import DataType, StructType
+
 from plumbline.functions import bytes_to_gib
 
-FOOTER = "path string, num_rows long, column string, bytes long"
+
+# Bytes of a value by type; anything else counts as a short text.
+WIDTHS = {
+    "boolean": 1, "byte": 1, "short": 2, "integer": 4, "date": 4, "float": 4,
+    "long": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "decimal": 16,
+}
 
 
 def files(
@@ -32,37 +38,35 @@ def files(
     return found.drop("content")
 
 
-def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import pyarrow.fs
-    import pyarrow.parquet
-
-    for batch in batches:
-        found = []
-        for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") else path
-            filesystem, name = pyarrow.fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-            with filesystem.open_input_file(name) as file:
-                footer = pyarrow.parquet.read_metadata(file)
-            for group in map(footer.row_group, range(footer.num_row_groups)):
-                for chunk in map(group.column, range(group.num_columns)):
-                    column = chunk.path_in_schema.split(".")[0]
-                    found.append((path, footer.num_rows, column, chunk.total_compressed_size))
-        yield pd.DataFrame(found, columns=["path", "num_rows", "column", "bytes"])
+def row_counts(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, num_rows)`` of each file under ``root`` that has rows.
 
+    The files are scanned with an empty schema, so a reader only counts, by its footers. Paths come
+    URL-encoded there, and are decoded to those of the listing.
+    """
+    rows = (
+        spark.read.schema(StructType([]))
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet")
+        .parquet(root)
+    )
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return rows.groupBy(F.url_decode(encoded).alias("path")).agg(F.count(F.lit(1)).alias("num_rows"))
 
-def footers(listing: DataFrame, tasks: int = 0) -> DataFrame:
-    """Per listed file its row count, and per column chunk the compressed bytes.
 
-    Executors read the footers, spread over ``tasks`` tasks (default: the
-    session's parallelism).
-    """
-    tasks = tasks or listing.sparkSession.sparkContext.defaultParallelism
-    return listing.select("path").repartition(tasks).mapInPandas(_footers, FOOTER)
+def column_share(schema: StructType, columns: Sequence[str]) -> float:
+    """The share of a row that ``columns`` make up, by the default widths of their types."""
 
+    def width(kind: DataType) -> int:
+        if isinstance(kind, StructType):
+            return sum(width(f.dataType) for f in kind)
+        return WIDTHS.get(kind.typeName().split("(")[0], 20)
 
-def row_counts(listing: DataFrame) -> DataFrame:
-    """``(path, num_rows)`` of each listed file."""
-    return footers(listing).groupBy("path").agg(F.max("num_rows").alias("num_rows"))
+    named = {f.name: width(f.dataType) for f in schema}
+    unknown = sorted(set(columns) - set(named))
+    if unknown:
+        raise KeyError(f"no column {', '.join(unknown)}")
+    return sum(named[c] for c in set(columns)) / max(1, sum(named.values()))
 
 
 def catalog_tables(
@@ -73,9 +77,9 @@ def catalog_tables(
     A table is a directory or a single ``<name>.parquet`` file.
     """
     base = root.rstrip("/")
-    name = F.regexp_replace(
-        F.regexp_extract("path", rf"{base}/([^/]+)", 1), r"\.parquet$", ""
-    )
+    # What follows the root, whatever characters that has.
+    below = F.substring_index("path", f"{base.removeprefix('file:').rstrip('/')}/", -1)
+    name = F.regexp_replace(F.substring_index(below, "/", 1), r"\.parquet$", "")
     listing = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.parquet")
@@ -86,7 +90,7 @@ def catalog_tables(
     if allowlist is not None:
         listing = listing.where(F.col("table_name").isin(*allowlist))
     return (
-        listing.join(row_counts(listing), "path", "left")
+        listing.join(row_counts(spark, base), "path", "left")
         .groupBy("table_name")
         .agg(
             F.count(F.lit(1)).alias("files"),
@@ -104,7 +108,7 @@ def describe_table(
 ) -> DataFrame:
     """One row per column: name, type, mode, description, next to the table's rows and size.
 
-    The schema is the driver's own; the sizes come from listing and footers.
+    The schema is the driver's own; the sizes come from the listing.
     """
     schema = spark.read.parquet(path).schema
     columns = F.array(
@@ -120,7 +124,7 @@ def describe_table(
         )
     )
     listing = files(spark, path)
-    counted = row_counts(listing).agg(F.sum("num_rows").alias("rows"))
+    counted = spark.read.schema(StructType([])).parquet(path).agg(F.count(F.lit(1)).alias("rows"))
     return listing.agg(
         F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified")
     ).select(

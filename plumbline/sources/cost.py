@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import bytes_to_gib, estimated_usd, human_bytes
 from plumbline.functions.scalars import GIB
-from plumbline.sources.catalog import files, footers
+from plumbline.sources.catalog import column_share, files
 
 SOFT_GIB = float(os.environ.get("PLUMBLINE_SOFT_GIB", "1.0"))
 HARD_GIB = float(os.environ.get("PLUMBLINE_HARD_GIB", "5.0"))
@@ -32,17 +32,27 @@ def scan_estimate(
     """One row: bytes a scan of ``root`` would read, GiB, price, and whether that is over a cap.
 
     ``where`` is the filter on the partition columns, applied to the listing, so
-    the estimate prunes as the scan will. With ``columns`` only their compressed
-    bytes count, read from the footers; otherwise whole files do. A scan exactly
-    at a cap is not over it.
+    the estimate prunes as the scan will. With ``columns`` a file counts by the
+    share of a row that they make up, by the widths of their types: an estimate,
+    as compression differs by column. A scan exactly at a cap is not over it.
     """
     listing = files(spark, root, where, partitions)
-    if columns is None:
-        size = listing.agg(F.sum("length").alias("bytes"))
-    else:
-        chunks = footers(listing).where(F.col("column").isin(*columns))
-        size = chunks.agg(F.sum("bytes").alias("bytes"))
-    return size.select(F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes")).select(
+    share = 1.0
+    if columns is not None:
+        share = column_share(spark.read.parquet(root).schema, columns)
+    counted = listing.select(F.col("length"))
+    if share < 1:
+        counted = listing.select(F.ceil(F.col("length") * F.lit(share)).alias("length"))
+    return estimate_of(counted, (), soft_gib, hard_gib)
+
+
+def estimate_of(
+    inventory: DataFrame, keys: Sequence[str] = (), soft_gib: float = SOFT_GIB, hard_gib: float = HARD_GIB
+) -> DataFrame:
+    """The estimate over an inventory of files (``length``), one row for each of ``keys``."""
+    size = inventory.groupBy(*keys).agg(F.sum("length").cast("long").alias("bytes"))
+    return size.select(*keys, F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes")).select(
+        *keys,
         "bytes",
         bytes_to_gib("bytes").alias("gib"),
         estimated_usd("bytes").alias("est_usd"),

@@ -57,11 +57,12 @@ def read_shards(
     as_of: dt.date | None = None,
     merge_schema: bool = False,
 ) -> DataFrame:
-    """The shards a window touches. Only their directories are listed as input.
+    """The shards a window touches.
 
     The suffix stays text (its declared type wins over inference) and the filter
-    is on the bare column, so it becomes a partition filter. ``merge_schema``
-    reconciles shards whose columns differ.
+    is on the bare column, so it becomes a partition filter: only the shards inside are read.
+    The shard directories are all listed. ``merge_schema`` reconciles shards whose columns differ,
+    and opens footers of shards outside the window too; name shards with ``read_shard`` to avoid that.
     """
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
     rows = reader.parquet(path)

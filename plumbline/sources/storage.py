@@ -53,12 +53,17 @@ def freeze(
 
     ``request`` must hold all that determines the result (metric, dimensions,
     segments, window, limit, source version): it is the key. ``build`` is not
-    called when the extract exists.
+    called when the extract exists. A run writes a folder of its own and is then entered as the
+    current one; of two that build at once both are kept, and the first one entered is read.
     """
-    path = f"{base}/extract-{request_key(request)}"
-    if not is_complete(spark, path):
-        build().write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    extract = f"{base}/extract-{request_key(request)}"
+    if not is_complete(spark, f"{extract}/_current"):
+        run = f"{extract}/run-{uuid.uuid4().hex}"
+        build().write.option("compression", "zstd").parquet(run)
+        pointer = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("built_at"))
+        pointer.write.mode("append").parquet(f"{extract}/_current")
+    runs = spark.read.parquet(f"{extract}/_current")
+    return spark.read.parquet(runs.agg(F.min_by("run", "built_at").alias("run")).first().run)
 
 
 def publish(model: DataFrame, path: str, partition_by: str | None = None) -> None:

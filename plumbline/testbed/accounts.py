@@ -33,7 +33,7 @@ def _days(spark, sf):
 
 
 def _cube(spark, sf):
-    return active_users.active_user_cube(_stretches(spark, sf), views.ACCOUNT_TYPES, EDGES)
+    return active_users.active_user_cube(_stretches(spark, sf), views.ACCOUNT_TYPES)
 
 
 def _acct(body: str) -> str:
@@ -123,33 +123,24 @@ def win_row_number_last_event(spark, sf):
 # ---- the dense formulation, step by step
 
 
-def _spine(spark, sf):
+def _spine_with(spark, sf, facts, day, value):
     src = sources(spark, sf)
     accounts = lifecycle.staged_accounts(src.created)
     last = lifecycle.latest_day(src).scalar()
-    return timeline.spine(accounts, "created_date", last, "snapshot_date").select(
-        "account_id", "snapshot_date"
+    return timeline.spine_with_facts(
+        accounts, facts, "account_id", "created_date", last, day, value, "snapshot_date"
     )
 
 
 def _spine_with_events(spark, sf):
     events = lifecycle.account_status_events(lifecycle.account_events(sources(spark, sf)))
-    return _spine(spark, sf).join(
-        events.withColumnRenamed("event_date", "snapshot_date"),
-        ["account_id", "snapshot_date"],
-        "left",
-    )
+    return _spine_with(spark, sf, events, "event_date", "status_after")
 
 
 def _spine_with_activity(spark, sf):
     activity = lifecycle.staged_transactions(sources(spark, sf))
     return (
-        _spine(spark, sf)
-        .join(
-            activity.withColumnRenamed("txn_date", "snapshot_date"),
-            ["account_id", "snapshot_date"],
-            "left",
-        )
+        _spine_with(spark, sf, activity, "txn_date", "txn_count")
         .withColumn("l1", F.when(F.col("txn_count").isNull(), 0).otherwise(1))
         .withColumn("txn_count", F.coalesce("txn_count", F.lit(0)))
     )
@@ -157,9 +148,9 @@ def _spine_with_activity(spark, sf):
 
 @register(
     "join_left_spine_events",
-    _dense("SELECT s.account_id, s.snapshot_date, e.status_after FROM spine s"
-           " LEFT JOIN account_status_events e ON e.account_id = s.account_id"
-           " AND e.event_date = s.snapshot_date"),
+    _dense("SELECT a.account_id, a.day AS snapshot_date, e.status_after FROM account_days a"
+           " LEFT JOIN account_status_events e ON e.account_id = a.account_id"
+           " AND e.event_date = a.day"),
 )
 def join_left_spine_events(spark, sf):
     return _spine_with_events(spark, sf)
@@ -167,7 +158,7 @@ def join_left_spine_events(spark, sf):
 
 @register(
     "join_left_spine_activity",
-    _dense("SELECT account_id, snapshot_date, l1, txn_count FROM state"),
+    _dense("SELECT account_id, snapshot_date, l1, txn_count FROM account_datelist"),
 )
 def join_left_spine_activity(spark, sf):
     return _spine_with_activity(spark, sf)
@@ -175,7 +166,8 @@ def join_left_spine_activity(spark, sf):
 
 @register(
     "win_last_value_ignore_nulls",
-    _dense("SELECT account_id, snapshot_date, status FROM state"),
+    _dense("SELECT account_id, snapshot_date, CASE WHEN is_open THEN 'open' ELSE 'closed' END"
+           " AS status FROM account_datelist"),
 )
 def win_last_value_ignore_nulls(spark, sf):
     rows = timeline.carry_forward(
@@ -218,10 +210,10 @@ def account_datelist(spark, sf):
            " FROM account_datelist WHERE l28 > 2) ORDER BY snapshot_date DESC LIMIT 6"),
 )
 def sample_entity_history(spark, sf):
-    """The newest six days of one account: picked, filtered and cut on segments."""
+    """The newest six days of one account, picked by a join with one row before days unfold."""
     segments = _segments(spark, sf)
-    chosen = segments.where("l28 > 2").agg(F.min("account_id").alias("id")).scalar()
-    history = lifecycle.datelist_of(segments.where(F.col("account_id") == chosen))
+    chosen = segments.where("l28 > 2").agg(F.min("account_id").alias("account_id"))
+    history = lifecycle.datelist_of(segments.join(chosen, "account_id", "left_semi"))
     return history.orderBy(F.desc("snapshot_date")).limit(6).select(
         "snapshot_date", "account_id", "is_open", "l1", "l7", "l28", "txn_count"
     )
@@ -240,10 +232,9 @@ def agg_signup_cohort(spark, sf):
            " FROM account_datelist GROUP BY 1, 2"),
 )
 def agg_flag_max(spark, sf):
-    """The plain form on the dense history, for any history at hand."""
-    windows = {"active_1d": "l1", "active_7d": "l7", "active_28d": "l28"}
-    return _datelist(spark, sf).groupBy("snapshot_date", "user_id").agg(
-        *(F.max(F.when(F.col(c) > 0, 1).otherwise(0)).alias(n) for n, c in windows.items())
+    """Flags per user and day, aggregated where the user's stretches are unfolded."""
+    return _days(spark, sf).groupBy("snapshot_date", "user_id").agg(
+        *(F.max(f).alias(f) for f in active_users.FLAGS)
     )
 
 
@@ -259,14 +250,12 @@ def user_daily_bridge(spark, sf):
 
 @register("join_bridge_distinct", _cubed("SELECT * FROM user_daily_bridge"))
 def join_bridge_distinct(spark, sf):
-    """The plain form: open days joined to cohorts, made distinct."""
+    """Open stretches joined to cohorts, then unfolded: distinct as they are."""
     cohort = active_users.signup_cohorts(
         lifecycle.staged_accounts(sources(spark, sf).created), UNIT
     )
-    open_days = _datelist(spark, sf).where("is_open").select(
-        "snapshot_date", "user_id", "account_type", "account_age_bucket"
-    )
-    return open_days.dropDuplicates().join(cohort, "user_id").select(
+    stretches = _stretches(spark, sf).where("is_open").drop("signup_cohort").join(cohort, "user_id")
+    return active_users.user_days(stretches).select(
         "snapshot_date", "user_id", "account_type", "account_age_bucket", "signup_cohort"
     )
 
@@ -277,10 +266,7 @@ def join_bridge_distinct(spark, sf):
            " JOIN user_daily u ON b.snapshot_date = u.snapshot_date AND b.user_id = u.user_id"),
 )
 def join_using_composite(spark, sf):
-    days = _days(spark, sf)
-    return active_users.user_daily_bridge(days).join(
-        active_users.user_daily(days), ["snapshot_date", "user_id"]
-    )
+    return active_users.user_days_with_flags(_days(spark, sf))
 
 
 @register(
@@ -295,11 +281,9 @@ def join_using_composite(spark, sf):
 def agg_distinct_filtered(spark, sf):
     """Filtered distinct counts without one copy of the rows per filter: a flag holds for a
     user and day as a whole, so users are made distinct once and then summed."""
-    days = _days(spark, sf)
     flags = active_users.FLAGS
     users = (
-        active_users.user_daily_bridge(days)
-        .join(active_users.user_daily(days), ["snapshot_date", "user_id"])
+        active_users.user_days_with_flags(_days(spark, sf))
         .groupBy("snapshot_date", "account_type", "user_id")
         .agg(*(F.max(f).alias(f) for f in flags))
     )
@@ -316,7 +300,7 @@ def active_user_cube(spark, sf):
 @register("active_user_cube_any_types", _cubed("SELECT * FROM active_user_cube"))
 def active_user_cube_any_types(spark, sf):
     """The same when the set of account types is not known beforehand."""
-    return active_users.active_user_cube(_stretches(spark, sf), edges=EDGES)
+    return active_users.active_user_cube(_stretches(spark, sf))
 
 
 @register(
@@ -350,81 +334,69 @@ _slice("cube_slice_by_age", ("account_age_bucket",),
            " AND snapshot_date = (SELECT max(snapshot_date) FROM active_user_cube)"),
 )
 def cube_latest_slice(spark, sf):
-    return active_users.cube_latest(_cube(spark, sf))
+    last = lifecycle.latest_day(sources(spark, sf)).scalar()
+    return active_users.cube_latest(_cube(spark, sf), last)
+
+
+# ---- retention, on years of history and monthly cohorts
+
+
+def _monthly(body: str) -> str:
+    return f"WITH {oracle.LONG_CUBE} {body}"
+
+
+def _monthly_cube(spark, sf, month_ends=False):
+    src = views.accounts_long(spark, sf)
+    last = lifecycle.latest_day(src).scalar()
+    stretches = active_users.user_stretches(lifecycle.account_segments(src), last)
+    if month_ends:
+        stretches = active_users.at_month_ends(stretches, last)
+    return active_users.active_user_cube(stretches, views.ACCOUNT_TYPES)
+
+
+@register("active_user_cube_monthly", _monthly("SELECT * FROM active_user_cube"))
+def active_user_cube_monthly(spark, sf):
+    """Default age buckets and monthly cohorts over years of history."""
+    return _monthly_cube(spark, sf)
 
 
 _RETENTION = """
-SELECT signup_cohort,
-       CAST((year(snapshot_date) - year(CAST(signup_cohort AS DATE))) * 12
-            + month(snapshot_date) - month(CAST(signup_cohort AS DATE)) AS INTEGER)
-         AS months_since_signup,
-       arg_max(active_users_7d_rate, snapshot_date) AS rate,
-       arg_max(open_users, snapshot_date) AS open_users
+SELECT signup_cohort, CAST(date_diff('month', CAST(signup_cohort AS DATE), snapshot_date) AS INTEGER)
+         AS months_since_signup, active_users_7d_rate AS rate, open_users
 FROM active_user_cube
-WHERE account_type = 'ALL' AND account_age_bucket = 'ALL' AND signup_cohort <> 'ALL'
-GROUP BY 1, 2
+WHERE signup_cohort <> 'ALL' AND (snapshot_date = last_day(snapshot_date)
+      OR snapshot_date = (SELECT d FROM last_day))
 """
 
 
-@register("cohort_retention", _cubed(_RETENTION))
+@register("cohort_retention", _monthly(_RETENTION))
 def cohort_retention(spark, sf):
-    return cohorts.cohort_retention(_cube(spark, sf))
+    return cohorts.cohort_retention(_monthly_cube(spark, sf, month_ends=True))
+
+
+MONTHS = range(13)
 
 
 @register(
     "cohort_matrix",
-    _cubed(f"SELECT signup_cohort, max(rate) FILTER (WHERE months_since_signup = 0) AS m0,"
-           f" max(rate) FILTER (WHERE months_since_signup = 1) AS m1 FROM ({_RETENTION})"
-           " GROUP BY 1"),
+    _monthly("SELECT signup_cohort, {} FROM ({}) GROUP BY 1".format(
+        ", ".join(f"max(rate) FILTER (WHERE months_since_signup = {m}) AS m{m}" for m in MONTHS),
+        _RETENTION,
+    )),
 )
 def cohort_matrix(spark, sf):
-    return cohorts.cohort_matrix(cohorts.cohort_retention(_cube(spark, sf)), [0, 1])
+    cube = _monthly_cube(spark, sf, month_ends=True)
+    return cohorts.cohort_matrix(cohorts.cohort_retention(cube), MONTHS)
 
 
 # ---- six and a half years of history, summarised so that the check stays readable
 
-_LONG = """
-WITH acct AS (
-  SELECT o_custkey AS account_id, max(o_custkey % 1000) AS user_id,
-         CAST(min(o_orderdate) AS DATE) AS created_date, min(o_orderdate) AS created_ts,
-         CASE o_custkey % 3 WHEN 0 THEN 'retail' WHEN 1 THEN 'pot' ELSE 'joint' END
-           AS account_type
-  FROM orders GROUP BY o_custkey),
-last_day AS (SELECT max(CAST(o_orderdate AS DATE)) AS d FROM orders),
-spine AS (
-  SELECT a.*, CAST(unnest(generate_series(CAST(created_date AS TIMESTAMP),
-    CAST((SELECT d FROM last_day) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM acct a),
-ev AS (
-  SELECT account_id, created_ts AS ts, 1 AS p FROM acct
-  UNION ALL SELECT o_custkey, o_orderdate, 2 FROM orders
-    WHERE o_orderstatus = 'F' AND o_orderpriority = '5-LOW'
-  UNION ALL SELECT o_custkey, o_orderdate, 3 FROM orders WHERE o_orderpriority = '1-URGENT'),
-status AS (
-  SELECT account_id, CAST(ts AS DATE) AS day, arg_max(p, (ts, p)) AS p FROM ev GROUP BY 1, 2),
-txn AS (
-  SELECT o_custkey AS account_id, CAST(o_orderdate AS DATE) AS day, count(*) AS n
-  FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2),
-hist AS (
-  SELECT s.account_id, s.user_id, s.account_type, s.day,
-         last_value(e.p IGNORE NULLS) OVER w <> 2 AS is_open,
-         CASE WHEN t.n IS NULL THEN 0 ELSE 1 END AS l1,
-         CASE WHEN s.day - s.created_date <= 30 THEN '0-30 (new)'
-              WHEN s.day - s.created_date <= 90 THEN '31-90'
-              WHEN s.day - s.created_date <= 365 THEN '91-365'
-              ELSE '366+ (established)' END AS account_age_bucket
-  FROM spine s
-  LEFT JOIN status e ON e.account_id = s.account_id AND e.day = s.day
-  LEFT JOIN txn t ON t.account_id = s.account_id AND t.day = s.day
-  WINDOW w AS (PARTITION BY s.account_id ORDER BY s.day
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-roll AS (
-  SELECT *, sum(l1) OVER (PARTITION BY account_id ORDER BY day ROWS 6 PRECEDING) AS l7,
-         sum(l1) OVER (PARTITION BY account_id ORDER BY day ROWS 27 PRECEDING) AS l28
-  FROM hist)
-SELECT account_type, account_age_bucket, year(day) AS year, count(*) AS days,
+_LONG = f"""
+WITH {oracle.LONG_DATELIST}
+SELECT account_type, account_age_bucket, year(snapshot_date) AS year, count(*) AS days,
        count(*) FILTER (WHERE is_open) AS open_days, CAST(sum(l1) AS BIGINT) AS l1,
        CAST(sum(l7) AS BIGINT) AS l7, CAST(sum(l28) AS BIGINT) AS l28
-FROM roll GROUP BY 1, 2, 3
+FROM account_datelist GROUP BY 1, 2, 3
 """
 
 

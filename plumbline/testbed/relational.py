@@ -99,14 +99,16 @@ def filter_eq_literal_date(spark, sf):
 @register(
     "filter_cmp_between_in_null",
     f"WITH {oracle.TRENDS} SELECT country_code, region_code, term, rank, score"
-    " FROM international_top_terms WHERE rank <= 20 AND rank > 2 AND percent_gain IS NOT NULL"
+    " FROM international_top_rising_terms WHERE rank <= 20 AND rank > 2"
+    " AND nullif(percent_gain, 0) IS NOT NULL"
     " AND rank BETWEEN 3 AND 18 AND country_code IN ('US', 'C1')"
     " AND (region_name IS NULL OR region_code = '' OR score IS NULL)",
 )
 def filter_cmp_between_in_null(spark, sf):
     rank = F.col("rank")
     return (
-        views.trends(spark, sf)["international_top_terms"]
+        views.trends(spark, sf)["international_top_rising_terms"]
+        .where(F.nullif("percent_gain", F.lit(0)).isNotNull())
         .where((rank <= 20) & (rank > 2) & rank.between(3, 18))
         .where(F.col("country_code").isin("US", "C1"))
         .where(
@@ -186,13 +188,23 @@ def agg_distinct(spark, sf):
     return rows.groupBy("suffix").agg(F.count_distinct("pickup_datetime").alias("pickup_times"))
 
 
-@register("agg_distinct_approx")
+@register(
+    "agg_distinct_approx",
+    f"WITH {oracle.WEB} SELECT deviceCategory, count(DISTINCT visitor) AS users,"
+    " TRUE AS within_three_sigma FROM sessions GROUP BY 1",
+)
 def agg_distinct_approx(spark, sf):
-    """The sketch: mergeable, so a hot group costs no more than any other."""
+    """The sketch, which is mergeable, so a hot group costs no more than any other, held against the
+    exact count: within three times its stated relative error."""
     return (
         views.web_sessions(spark, sf)
         .groupBy("device.deviceCategory")
-        .agg(F.approx_count_distinct("fullVisitorId", 0.02).alias("users"))
+        .agg(
+            F.approx_count_distinct("fullVisitorId", 0.02).alias("about"),
+            F.count_distinct("fullVisitorId").alias("users"),
+        )
+        .select("deviceCategory", "users",
+                (F.abs(F.col("about") - F.col("users")) <= 0.06 * F.col("users")).alias("within_three_sigma"))
     )
 
 
@@ -462,16 +474,29 @@ def daily_trips_smoothed(spark, sf):
 # ---- sorts
 
 
-@register("sort_asc", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 ORDER BY 1")
+def _numbered(ordered):
+    """The place of each row as it comes: an id that increases over sorted partitions, ranked again.
+    In one task, so only for rows that are as few as nations."""
+    place = W.orderBy("_id")
+    return ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn(
+        "position", F.row_number().over(place).cast("long")
+    ).drop("_id")
+
+
+@register(
+    "sort_asc",
+    "SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY c_nationkey) AS position"
+    " FROM customer GROUP BY 1",
+)
 def sort_asc(spark, sf):
     counts = table(spark, sf, "customer").groupBy("c_nationkey")
-    return counts.agg(F.count(F.lit(1)).alias("n")).orderBy("c_nationkey")
+    return _numbered(counts.agg(F.count(F.lit(1)).alias("n")).orderBy("c_nationkey"))
 
 
 @register(
     "sort_desc",
     "SELECT l_suppkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY 1"
-    " ORDER BY 2 DESC",
+    " ORDER BY 2 DESC, 1",
 )
 def sort_desc(spark, sf):
     sums = table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
@@ -605,10 +630,19 @@ _function("fn_gib_bytes_usd", "orders",
           " o_orderkey / 1099511627776.0::DOUBLE * 6.25::DOUBLE AS usd",
           lambda: dict(o_orderkey="o_orderkey", bytes=gib_to_bytes("o_custkey"),
           gib=bytes_to_gib("o_orderkey"), usd=estimated_usd("o_orderkey")))
-_function("fn_struct_access", "orders",
-          "o_orderkey, o_custkey AS customer",
-          lambda: dict(o_orderkey="o_orderkey",
-          customer=F.struct(F.struct(F.col("o_custkey").alias("id")).alias("who"))["who"]["id"]))
+@register(
+    "fn_struct_access",
+    f"WITH {oracle.WEB} SELECT k AS visit, deviceCategory = 'mobile' AS mobile, pagePath AS page"
+    " FROM hits",
+)
+def fn_struct_access(spark, sf):
+    """Fields of a struct, and of structs in an array of structs."""
+    visits = views.web_sessions(spark, sf).select(
+        F.col("visitId").alias("visit"), F.col("device.isMobile").alias("mobile"), F.col("hits.page").alias("pages")
+    )
+    return visits.select("visit", "mobile", F.explode("pages.pagePath").alias("page"))
+
+
 _function("fn_human_bytes", "orders",
           "SELECT o_orderkey, CASE WHEN b IS NULL THEN 'unknown'"
           " WHEN b < 1024 THEN CAST(b AS VARCHAR) || ' B'"

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from plumbline.plans import active_users, incremental, lifecycle
 from plumbline.sources.storage import publish, shared_folder
 
@@ -122,8 +123,12 @@ def test_history_and_cube_match_the_simulation(spark, seed):
     last = lifecycle.latest_day(sources).scalar()
     stretches = active_users.user_stretches(segments, last, "week")
     cube = simulate_cube(expected)
-    assert rows_of(active_users.active_user_cube(stretches, TYPES, EDGES)) == cube
-    assert rows_of(active_users.active_user_cube(stretches, edges=EDGES)) == cube
+    assert rows_of(active_users.active_user_cube(stretches, TYPES)) == cube
+    assert rows_of(active_users.active_user_cube(stretches)) == cube
+    final = max(r[0] for r in cube)
+    ends = {r for r in cube if (r[0] + dt.timedelta(days=1)).day == 1 or r[0] == final}
+    at_ends = active_users.at_month_ends(stretches, last)
+    assert set(rows_of(active_users.active_user_cube(at_ends))) == ends
 
 
 def test_history_up_to_a_day_ignores_what_came_later(spark):
@@ -147,6 +152,55 @@ def test_days_built_one_by_one_equal_the_rebuild(spark):
         assert rows_of(built.select(*lifecycle.DATELIST_COLUMNS)) == rebuilt
 
 
+def _built_until(spark, day):
+    sources = as_sources(spark, random_inputs(5))
+    path = shared_folder(spark, "gaps")
+    publish(lifecycle.account_datelist(sources, day, EDGES), path, "snapshot_date")
+    return sources, path
+
+
+def test_a_day_is_not_built_on_a_gap(spark):
+    day = dt.date(2024, 1, 20)
+    sources, path = _built_until(spark, day)
+    with pytest.raises(incremental.MissingDay, match="2024-01-21"):
+        incremental.build_day(spark, path, sources, dt.date(2024, 1, 22), EDGES)
+    assert spark.read.parquet(path).agg(F.max("snapshot_date")).first()[0] == day
+
+
+@pytest.mark.parametrize("back", [7, 28])
+def test_a_missing_day_of_a_window_is_an_error(spark, back):
+    last = dt.date(2024, 2, 5)
+    inputs = random_inputs(5)
+    sources = as_sources(spark, inputs)
+    day = last + dt.timedelta(days=1)
+    gone = day - dt.timedelta(days=back)
+    history = lifecycle.account_datelist(sources, last, EDGES)
+    assert history.where(F.col("snapshot_date") < F.lit(gone)).count()
+    path = shared_folder(spark, "window")
+    publish(history.where(F.col("snapshot_date") != F.lit(gone)), path, "snapshot_date")
+    with pytest.raises(incremental.MissingDay, match=str(gone)):
+        incremental.build_day(spark, path, sources, day, EDGES)
+
+
+def test_late_events_need_the_days_after_them_built_again(spark):
+    inputs, day = random_inputs(5), dt.date(2024, 1, 20)
+    sources, path = _built_until(spark, day)
+    account = simulate(inputs, day)[-1][1]
+    late = (*inputs[:3], [*(r for r in inputs[3] if r[:2] != (account, day - dt.timedelta(days=1))),
+                          (account, day - dt.timedelta(days=1), 4)])
+    changed = as_sources(spark, late)
+    incremental.build_day(spark, path, changed, day - dt.timedelta(days=1), EDGES)
+
+    def stored():
+        rows = spark.read.parquet(path).select(*lifecycle.DATELIST_COLUMNS)
+        return [r for r in rows_of(rows) if r[0] >= day - dt.timedelta(days=1)]
+
+    expected = [r for r in simulate(late, day) if r[0] >= day - dt.timedelta(days=1)]
+    assert stored() != expected  # the day after still stands for the old state
+    incremental.build_day(spark, path, changed, day, EDGES)
+    assert stored() == expected
+
+
 def test_build_of_a_day_touches_three_partitions(spark, plan):
     path = shared_folder(spark, "three")
     sources = as_sources(spark, random_inputs(3))
@@ -169,16 +223,18 @@ def test_unknown_type_is_an_error_when_types_are_declared(spark):
     segments = lifecycle.account_segments(sources, edges=EDGES)
     stretches = active_users.user_stretches(segments, lifecycle.latest_day(sources).scalar())
     with pytest.raises(Exception, match="unknown account type"):
-        active_users.active_user_cube(stretches, TYPES, EDGES).collect()
-    assert active_users.active_user_cube(stretches, edges=EDGES).count() == 5
+        active_users.active_user_cube(stretches, TYPES).collect()
+    with pytest.raises(Exception, match="unknown account type"):
+        active_users.active_user_cube(stretches, [f"type{n}" for n in range(20)]).collect()
+    assert active_users.active_user_cube(stretches).count() == 5
 
 
 def test_a_type_called_like_the_rollup_marker_keeps_its_own_rows(spark):
     sources = as_sources(spark, ([(1, 1, "ALL", START), (2, 2, "it's", START)], [], [], []))
     segments = lifecycle.account_segments(sources, edges=EDGES)
     stretches = active_users.user_stretches(segments, lifecycle.latest_day(sources).scalar())
-    listed = rows_of(active_users.active_user_cube(stretches, edges=EDGES))
-    assert rows_of(active_users.active_user_cube(stretches, ["ALL", "it's"], EDGES)) == listed
+    listed = rows_of(active_users.active_user_cube(stretches))
+    assert rows_of(active_users.active_user_cube(stretches, ["ALL", "it's"])) == listed
     assert sorted(r[4] for r in listed if r[1:4] == ("ALL", "ALL", "ALL")) == [1, 2]
 
 
@@ -195,7 +251,24 @@ def test_dense_rows_of_the_cube_are_never_shuffled(spark, plan):
     sources = as_sources(spark, random_inputs(1))
     segments = lifecycle.account_segments(sources, edges=EDGES)
     stretches = active_users.user_stretches(segments, lifecycle.latest_day(sources).scalar())
-    lines = plan(active_users.active_user_cube(stretches, TYPES, EDGES)).splitlines()
+    lines = plan(active_users.active_user_cube(stretches, TYPES)).splitlines()
     unfold = next(n for n, line in enumerate(lines) if "explode(sequence(" in line)
     by_user = [n for n, line in enumerate(lines[:unfold]) if "Exchange hashpartitioning(user_id" in line]
     assert by_user == []
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+@pytest.mark.parametrize(
+    "name", ["join_left_spine_events", "win_rolling_sum_7", "join_using_composite", "agg_distinct_filtered",
+             "agg_flag_max", "join_bridge_distinct"],
+)
+def test_dense_rows_are_neither_shuffled_nor_broadcast(spark, sf, plan, name, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        lines = plan(contract.queries()[name](spark, sf)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    unfold = next(n for n, line in enumerate(lines) if "explode(sequence(" in line)
+    moved = [line for line in lines[:unfold] if "Exchange" in line]
+    # What is counted per day may move, once it is counted.
+    assert all("snapshot_date" in line and "user_id" not in line and "account_id" not in line for line in moved)

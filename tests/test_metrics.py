@@ -159,14 +159,14 @@ def test_a_wrong_expression_is_found_before_it_runs(spark, events):
 def test_metric_reads_only_its_columns(spark, sf, plan):
     tables = metric_queries._VIEWS[TAXI.name](spark, sf)
     text = plan(metric_query(tables, TAXI, "avg_fare", ["payment_type"],
-                             window=metric_queries.EVER))
+                             window=metric_queries.WINDOW))
     schema = text[text.index("ReadSchema"):]
     assert "l_extendedprice" in schema and "l_partkey" not in schema and "l_tax" not in schema
 
 
 def test_topk_does_not_sort_everything(spark, sf, plan):
     tables = metric_queries._VIEWS[TAXI.name](spark, sf)
-    df = metric_query(tables, TAXI, "trips", ["rate_code"], window=metric_queries.EVER, limit=3)
+    df = metric_query(tables, TAXI, "trips", ["rate_code"], window=metric_queries.WINDOW, limit=3)
     assert "TakeOrderedAndProject" in plan(df)
 
 

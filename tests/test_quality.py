@@ -96,6 +96,24 @@ def test_orphans_survive_a_null_in_the_parent(spark):
     assert [r.id for r in quality.orphans([child, child], parent, "id").collect()] == [2]
 
 
+def test_both_sides_of_the_orphan_join_are_reduced_before_the_shuffle(spark, sf, plan):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(quality.orphans([events], events, "id")).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [n for n, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and all("HashAggregate" in lines[n + 1] for n in shuffles)
+
+
+def test_repeated_assertions_count_as_often_as_they_are_made(spark):
+    texts = spark.createDataFrame([("a", "x y")], "case_id string, text string")
+    rows = [("a", "contains", "x")] * 500 + [("a", "absent", f"n{i}") for i in range(300)] + [("a", "absent", "y")]
+    asserted = spark.createDataFrame(rows, "case_id string, kind string, needle string")
+    assert [tuple(r) for r in grade_texts(texts, asserted, rows_per_chunk=50).collect()] == [("a", 801, 800, False)]
+
+
 def test_staleness(spark):
     def items(rows):
         return spark.createDataFrame(rows, "item string, modified int")
