@@ -38,8 +38,12 @@ class Table:
     join_keys: tuple[str, ...] = ()
     scope_exclusions: str | None = None
     description: str | None = None
+    comments: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):
+        stray = sorted(set(self.comments) - set(self.columns))
+        if stray:
+            raise ValueError(f"table {self.name!r} describes columns it does not have: {stray}")
         if self.partition_column and self.shard_suffix:
             raise ValueError(
                 f"table {self.name!r} declares a partition column and a shard suffix; "
@@ -144,6 +148,9 @@ def check_against(dataset: Dataset, tables: dict[str, DataFrame]) -> None:
     """
     from plumbline.operators.metric import unnest
 
+    for table in dataset.tables:
+        if table.columns and table.name in tables:
+            tables[table.name].select(*table.columns).schema
     reached: dict[str, Exception | None] = {}
     for metric in dataset.metrics:
         table = dataset.table(metric.table)

@@ -14,14 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def place_by(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows placed by ``keys`` over all of the session's shuffle partitions.
+def place_by(rows: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Rows placed by ``keys`` over ``partitions``, by default the session's shuffle partitions.
 
     For rows that are about to be unfolded. They are few and small before that, so
     adaptive execution would merge them into few tasks, judging by a size that
-    is about to grow a hundredfold; a fixed number of partitions is left alone.
+    is about to grow a hundredfold; a fixed number of partitions is left alone. Choose it
+    by unfolded rows: accounts times days, over the rows that a task should hold.
     """
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(count, *keys)
 
 

@@ -284,4 +284,52 @@ TAXI = Dataset(
     ),
 )
 
-REGISTRY = Registry((WEB, TRENDS, BIKES, TAXI))
+_TYPE = "as it was when created; NULL rows are not modelled"
+
+ACCOUNTS = Dataset(
+    name="accounts",
+    description="The life of accounts: four event tables, from which the daily history is built.",
+    tables=(
+        Table(
+            name="account_created",
+            grain="one creation; an account may be created more than once",
+            time_column="created_ts",
+            join_keys=("account_id", "user_id"),
+            columns={
+                "account_id": "bigint",
+                "user_id": "bigint",
+                "account_type": "string",
+                "created_ts": "timestamp_ntz",
+            },
+            comments={"user_id": "a user has one account or more", "account_type": _TYPE},
+        ),
+        Table(
+            name="account_closed",
+            grain="one closure",
+            time_column="closed_ts",
+            join_keys=("account_id",),
+            columns={"account_id": "bigint", "closed_ts": "timestamp_ntz"},
+        ),
+        Table(
+            name="account_reopened",
+            grain="one reopening",
+            time_column="reopened_ts",
+            join_keys=("account_id",),
+            columns={"account_id": "bigint", "reopened_ts": "timestamp_ntz"},
+        ),
+        Table(
+            name="account_transactions",
+            grain="one account and day with transactions",
+            time_column="txn_date",
+            join_keys=("account_id",),
+            columns={"account_id": "bigint", "txn_date": "date", "txn_count": "bigint"},
+            comments={"txn_count": "transactions of the day; days without any have no row"},
+        ),
+    ),
+    notes=(
+        "Activity before the creation of its account is left out of the history.",
+        "On the same instant a reopening wins over a closure, and both over a creation.",
+    ),
+)
+
+REGISTRY = Registry((WEB, TRENDS, BIKES, TAXI, ACCOUNTS))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,10 +104,15 @@ def catalog_tables(
 
 
 def describe_table(
-    spark: SparkSession, path: str, partitioned_by: str | None = None
+    spark: SparkSession,
+    path: str,
+    partitioned_by: str | None = None,
+    comments: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per column: name, type, mode, description, next to the table's rows and size.
 
+    A description is the governed one of ``comments``, or else the comment stored in the file.
+
     The schema is the driver's own; the sizes come from the listing.
     """
     schema = spark.read.parquet(path).schema
@@ -118,7 +123,7 @@ def describe_table(
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 F.lit("NULLABLE" if f.nullable else "REQUIRED").alias("mode"),
-                F.lit(f.metadata.get("comment")).cast("string").alias("description"),
+                F.lit((comments or {}).get(f.name, f.metadata.get("comment"))).cast("string").alias("description"),
             )
             for position, f in enumerate(schema)
         )

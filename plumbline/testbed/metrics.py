@@ -10,7 +10,7 @@ from plumbline.operators.governance import Dataset, Segment, Table, check_agains
 from plumbline.operators.metric import UnboundedScan, metric_query, unnest
 from plumbline.operators.search import TextSource, text_search
 from plumbline.operators.window import TimeWindow
-from plumbline.plans.library import BIKES, REGISTRY, TAXI, TRENDS, WEB
+from plumbline.plans.library import ACCOUNTS, BIKES, REGISTRY, TAXI, TRENDS, WEB
 from plumbline.testbed import oracle, views
 from plumbline.testbed.catalog import register, rounded
 
@@ -22,6 +22,7 @@ _VIEWS = {
     TRENDS.name: views.trends,
     BIKES.name: views.bikes,
     TAXI.name: views.taxi,
+    ACCOUNTS.name: views.account_tables,
 }
 _CTES = {
     WEB.name: oracle.WEB,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import quality
 from plumbline.operators.grading import grade_texts
 from plumbline.plans import lifecycle
-from plumbline.sources.storage import publish, shared_folder
+from plumbline.sources.storage import publish
 from plumbline.testbed import oracle, views
 from plumbline.testbed.accounts import _acct, _datelist, _dense, sources
 from plumbline.testbed.catalog import register
@@ -30,9 +30,10 @@ def dq_grain_dup(spark, sf):
 
 def _stored(spark, sf):
     """The history as written and read back, which is what the checks are about."""
-    path = f"{shared_folder(spark, 'checked')}/account_datelist"
-    publish(_datelist(spark, sf), path, "snapshot_date")
-    return spark.read.parquet(path)
+    history = _datelist(spark, sf)
+    return spark.read.parquet(
+        views.stored(spark, sf, "checked", lambda path: publish(history, path, "snapshot_date"))
+    )
 
 
 def _last(spark, sf):

@@ -21,6 +21,7 @@ from plumbline.functions.scalars import age_bucket
 from plumbline.operators import profile, timeline
 from plumbline.plans.daily import daily_counts, smoothed_daily_counts
 from plumbline.sources.parquet import parameterized, scan
+from plumbline.sources.storage import publish
 from plumbline.testbed import oracle, views
 from plumbline.testbed.catalog import register, rounded
 from plumbline.testbed.views import table
@@ -83,6 +84,14 @@ def param_query(spark, sf):
 # ---- filters
 
 
+def stored_trends(spark, sf, name="top_terms"):
+    """The table as a store partitioned by its refresh date."""
+    rows = views.trends(spark, sf)[name]
+    return spark.read.parquet(
+        views.stored(spark, sf, name, lambda path: publish(rows, path, "refresh_date"))
+    )
+
+
 @register(
     "filter_eq_literal_date",
     f"WITH {oracle.TRENDS} SELECT term, week, rank FROM top_terms"
@@ -90,7 +99,7 @@ def param_query(spark, sf):
 )
 def filter_eq_literal_date(spark, sf):
     return (
-        views.trends(spark, sf)["top_terms"]
+        stored_trends(spark, sf)
         .where(F.col("refresh_date") == F.lit(dt.date(1998, 6, 1)))
         .select("term", "week", "rank")
     )
@@ -127,7 +136,7 @@ def filter_cmp_between_in_null(spark, sf):
 def filter_latest_snapshot(spark, sf):
     """Top ten of the newest refresh at or before a day."""
     latest = profile.latest_snapshot(
-        views.trends(spark, sf)["top_terms"], "refresh_date", F.lit(dt.date(1999, 9, 20))
+        stored_trends(spark, sf), "refresh_date", F.lit(dt.date(1999, 9, 20))
     )
     return latest.where("rank <= 10").select("dma_name", "term", "week", "rank").orderBy(
         "dma_name", "rank", "term", "week"

@@ -55,17 +55,13 @@ _EVENTS = "event_type string, user_id long"
 
 
 def _yearly(spark, sf):
-    path = shared_folder(spark, "orders-by-year")
-    orders = table(spark, sf, "orders")
-    write_shards(orders.withColumn("suffix", F.date_format("o_orderdate", "yyyy")), path, "suffix")
-    return path
+    orders = table(spark, sf, "orders").withColumn("suffix", F.date_format("o_orderdate", "yyyy"))
+    return views.stored(spark, sf, "orders-by-year", lambda path: write_shards(orders, path, "suffix"))
 
 
 def _daily(spark, sf):
-    path = shared_folder(spark, "events-by-day")
-    events = table(spark, sf, "events").drop("props")
-    write_shards(events.withColumn("suffix", F.date_format("ts", "yyyyMMdd")), path, "suffix")
-    return path
+    events = table(spark, sf, "events").drop("props").withColumn("suffix", F.date_format("ts", "yyyyMMdd"))
+    return views.stored(spark, sf, "events-by-day", lambda path: write_shards(events, path, "suffix"))
 
 
 @register(
@@ -277,13 +273,16 @@ def catalog_table_sizes(spark, sf):
     "describe_table",
     """SELECT column_name AS "column", CAST(ordinal_position - 1 AS INTEGER) AS position,
        (SELECT count(*) FROM lineitem) AS rows, 'NULLABLE' AS mode, TRUE AS sized,
+       CASE column_name WHEN 'l_tax' THEN 'share of the price' END AS description,
        CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
             WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type
        FROM information_schema.columns WHERE table_name = 'lineitem'""",
 )
 def describe_table(spark, sf):
-    described = catalog.describe_table(spark, f"{sf}/lineitem.parquet")
-    return described.select("column", "position", "rows", "mode", (F.col("bytes") > 0).alias("sized"), "type")
+    comments = {"l_tax": "share of the price"}
+    described = catalog.describe_table(spark, f"{sf}/lineitem.parquet", comments=comments)
+    sized = (F.col("bytes") > 0).alias("sized")
+    return described.select("column", "position", "rows", "mode", sized, "description", "type")
 
 
 # The tables of the customers, as if each order were a file of as many bytes as it cost cents.

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.plans.lifecycle import Sources
+from plumbline.sources.storage import shared_folder
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -28,6 +29,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_STORES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf: str, name: str, write: Callable[[str], None]) -> str:
+    """The path of a table that queries read from storage, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORES:
+        path = shared_folder(spark, name)
+        write(path)
+        _STORES[key] = path
+    return _STORES[key]
+
+
 class Views(Mapping[str, DataFrame]):
     """Named views, each built when it is asked for."""
 
@@ -81,6 +95,14 @@ def accounts_raw(spark: SparkSession, sf: str) -> Sources:
     return Sources(created, closed, reopened, transactions)
 
 
+def account_tables(spark: SparkSession, sf: str) -> Views:
+    """The same four tables under their governed names."""
+    def one(part: str) -> Callable[[], DataFrame]:
+        return lambda: getattr(accounts_raw(spark, sf), part)
+
+    return Views({f"account_{p}": one(p) for p in ("created", "closed", "reopened", "transactions")})
+
+
 def accounts_long(spark: SparkSession, sf: str) -> Sources:
     """Account sources from ``orders``: 6.5 years, one account per customer."""
     orders = table(spark, sf, "orders")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from plumbline.operators.governance import (
     Dataset,
     Metric,
@@ -15,8 +16,9 @@ from plumbline.operators.governance import (
 from plumbline.operators.metric import UnboundedScan, metric_query
 from plumbline.operators.search import TextSource, text_search
 from plumbline.operators.window import TimeWindow
-from plumbline.plans.library import REGISTRY, TAXI, WEB
+from plumbline.plans.library import REGISTRY, TAXI, TRENDS, WEB
 from plumbline.testbed import metrics as metric_queries
+from plumbline.testbed import relational
 
 EVENTS = Table("events", "one event", partition_column="refresh_date", hygiene_filter="is_valid",
                time_column="refresh_date")
@@ -177,3 +179,20 @@ def test_search_is_case_blind_and_skips_empty_fields(spark):
     assert [r.name for r in text_search(source, " ring").collect()] == ["1"]
     assert sorted(r.name for r in text_search(source, "").collect()) == ["1", "4"]
     assert text_search(source, "RING").select(F.first("kind")).first()[0] == "thing"
+
+
+def test_partitions_of_a_store_are_pruned(spark, sf, plan):
+    queries = contract.queries()
+    for name in ("filter_eq_literal_date", "filter_latest_snapshot"):
+        assert "PartitionFilters: [isnotnull(refresh_date" in plan(queries[name](spark, sf)), name
+    stored = {"top_terms": relational.stored_trends(spark, sf)}
+    window = TimeWindow(start="1997-01-01", end="1997-06-30")
+    for metric in ("term_appearances", "distinct_terms"):
+        text = plan(metric_query(stored, TRENDS, metric, ["term"], window=window))
+        assert "PartitionFilters: [isnotnull(refresh_date" in text and ">= 1997-01-01" in text, metric
+
+
+def test_a_segment_that_fits_no_metric_is_found(spark):
+    bad = Dataset("d", (Table("t", "one row"),), (Metric("n", "t", "count(1)"),), (Segment("s", "nothing > 1"),))
+    with pytest.raises(Exception, match="nothing"):
+        check_against(bad, {"t": spark.range(1)})
