@@ -14,12 +14,13 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .frames import ranges
-from .repeats import Unit, by_name, merged, segments
+from .repeats import HOT, Unit, by_name, hot_windows, merged, segments
 
 #: Windows in a shard, at most about; a phrase has ``window`` nodes of some 60 bytes.
-_WINDOWS = 150_000
+_WINDOWS = 100_000
 
 
 def recurring(words: np.ndarray, starts: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
@@ -46,9 +47,11 @@ def recurring(words: np.ndarray, starts: np.ndarray, windows: np.ndarray, window
     return place[some[first[count > 1]]]
 
 
-def covered(rows: DataFrame, window: int = 20, piece: int = 5) -> DataFrame:
+def covered(rows: DataFrame, window: int = 20, piece: int = 5, hot: int = HOT) -> DataFrame:
     """``ka, kb, start, end``: the words covered by phrases that also start earlier."""
-    cut = segments(rows, Unit(True, window, piece))
+    unit = Unit(True, window, piece)
+    cut = segments(rows, unit, hot)
+    single = hot_windows(rows, unit, hot).filter("not earliest")
 
     def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
@@ -89,4 +92,5 @@ def covered(rows: DataFrame, window: int = 20, piece: int = 5) -> DataFrame:
             ["ka", "kb", "start", "end"],
         )
 
-    return by_name(cut, solve, "ka long, kb long, start long, end long", _WINDOWS)
+    ranges_ = by_name(cut, solve, "ka long, kb long, start long, end long", _WINDOWS)
+    return ranges_.unionByName(single.select("ka", "kb", F.col("first").alias("start"), (F.col("first") + window).alias("end")))

@@ -9,6 +9,10 @@ the other runs, cut out with their text, are dealt by name, and windows that are
 Texts that are equal as a whole are one class and take part once, in the row with the smallest id,
 so a text that a third of all rows share is cut once. Names are counted before the shuffle, and
 counts are joined back, which adaptive execution splits where one name is very common.
+
+A name with more than ``HOT`` runs, as of a passage in a third of all texts, is not gathered in one
+task. Its windows are named one by one by 128 bits of all they hold, counted with a map-side step, and
+joined back (``hot_windows``); the result is the same.
 """
 
 from __future__ import annotations
@@ -24,7 +28,9 @@ from pyspark.sql import functions as F
 from .frames import flat_bytes, mix, ranges, slices
 
 #: Windows in a run at most; longer runs, of periodic text, are cut.
-MAX_RUN = 512
+MAX_RUN = 256
+#: Runs of a name that one task may gather, some 0.4 KB each.
+HOT = 2_000
 #: Text bytes handled at once when names are made: arrays of eight bytes for each.
 NAMING_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
@@ -159,8 +165,9 @@ def _chosen(rows: DataFrame) -> DataFrame:
     )
 
 
-def repeated_runs(rows: DataFrame, unit: Unit) -> DataFrame:
-    """``ka, kb, runs``: of each class the runs ``(name, first, windows)`` whose name is not alone."""
+def repeated_runs(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
+    """``ka, kb, runs, any_hot``: of each class the runs ``(name, first, windows, hot)`` whose name is
+    not alone."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,20 +189,60 @@ def repeated_runs(rows: DataFrame, unit: Unit) -> DataFrame:
     # bit 0 if the name stands twice in the run itself.
     often = (
         found.groupBy("name").agg(F.count("*").alias("n"), F.max(F.col("place").bitwiseAND(F.lit(1))).alias("again"))
-        .filter((F.col("n") > 1) | (F.col("again") == 1)).select("name")
+        .filter((F.col("n") > 1) | (F.col("again") == 1)).select("name", (F.col("n") > hot).alias("hot"))
     )
     run = F.struct(
         "name",
         F.shiftright("place", 13).alias("first"),
         F.shiftright("place", 1).bitwiseAND(F.lit(4095)).cast("int").alias("windows"),
+        "hot",
+    )
+    return found.join(often, "name").groupBy("ka", "kb").agg(
+        F.sort_array(F.collect_set(run)).alias("runs"), F.bool_or("hot").alias("any_hot")
+    )
+
+
+def hot_windows(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
+    """``window, ka, kb, doc_id, first, n, earliest``: each window of runs with a hot name that stands
+    at ``n`` > 1 places, and whether this is its earliest one (by ``doc_id``, null first, and place)."""
+    wanted = repeated_runs(rows, unit, hot).filter("any_hot").hint("shuffle_hash")
+    joined = _chosen(rows).join(wanted, ["ka", "kb"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices([batch.filter(batch.column("chosen"))], limit=NAMING_BYTES):
+                values, begin = unit_values(*flat_bytes(part), unit)
+                lists = part.column("runs")
+                own = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                flat = lists.flatten()
+                use = flat.field("hot").to_numpy(zero_copy_only=False)
+                first, windows = flat.field("first").to_numpy()[use], flat.field("windows").to_numpy()[use]
+                own = np.repeat(own[use], windows)
+                first = ranges(first, windows)
+                place = begin[own] + first
+                names = [rolling(v, unit.window)[place] for v in (values, mix(values + np.uint64(7)))] if len(place) else [place] * 2
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(mix(x.astype(np.uint64)).view(np.int64)) for x in names),
+                        *(part.column(c).take(at) for c in ("ka", "kb", "doc_id")),
+                        pa.array(first),
+                    ],
+                    ["wa", "wb", "ka", "kb", "doc_id", "first"],
+                )
+
+    found = joined.mapInArrow(name, "wa long, wb long, ka long, kb long, doc_id long, first long")
+    place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "first")
+    counted = found.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
+    return found.join(counted, ["wa", "wb"]).select(
+        F.col("wa").alias("window"), "ka", "kb", "doc_id", "first", "n", (place == F.col("least")).alias("earliest")
     )
-    return found.join(often, "name").groupBy("ka", "kb").agg(F.sort_array(F.collect_set(run)).alias("runs"))
 
 
-def segments(rows: DataFrame, unit: Unit) -> DataFrame:
-    """``name, ka, kb, doc_id, first, windows, segment``: the text of each run that may repeat, with
-    one byte before it for bytes (none at the start of a text)."""
-    wanted = repeated_runs(rows, unit).hint("shuffle_hash")
+def segments(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
+    """``name, ka, kb, doc_id, first, windows, segment``: the text of each run that may repeat and is
+    not hot, with one byte before it for bytes (none at the start of a text)."""
+    wanted = repeated_runs(rows, unit, hot).hint("shuffle_hash")
     joined = _chosen(rows).join(wanted, ["ka", "kb"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +252,8 @@ def segments(rows: DataFrame, unit: Unit) -> DataFrame:
                 lists = part.column("runs")
                 own = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
                 flat = lists.flatten()
+                use = ~flat.field("hot").to_numpy(zero_copy_only=False)
+                flat, own = flat.filter(pa.array(use)), own[use]
                 first, windows = flat.field("first").to_numpy(), flat.field("windows").to_numpy().astype(np.int64)
                 if unit.words:
                     starts, ends, word = word_spans(raw, offsets)

@@ -18,12 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .frames import flat_bytes, mix
-from .repeats import Unit, by_name, merged, rolling, segments
+from .repeats import HOT, Unit, by_name, hot_windows, merged, rolling, segments
 
 #: Windows that are in hand at once.
-_WINDOWS = 400_000
+_WINDOWS = 100_000
 GROUPS = "group long, length int, occurrences int, ka long, kb long, doc_id long, start long"
 
 
@@ -109,14 +110,19 @@ def repeats_of(batch: pa.RecordBatch, window: int):
     return raw, place, owner, first[owner] + step, room, left
 
 
-def maximal_groups(rows: DataFrame, window: int = 200, piece: int = 32) -> DataFrame:
+def maximal_groups(rows: DataFrame, window: int = 200, piece: int = 32, hot: int = HOT) -> DataFrame:
     """Maximal repeats with all occurrences: ``group, length, occurrences, ka, kb, doc_id, start``, a
     row for each occurrence, in bytes of the text with keys ``ka, kb`` (``repeats.keyed``).
 
     A repeat that is longer than its run (about one window more) comes as several groups, one after
-    the other, whose occurrences overlap.
+    the other, whose occurrences overlap; one in a hot run comes window by window.
     """
-    cut = segments(rows, Unit(False, window, piece))
+    unit = Unit(False, window, piece)
+    cut = segments(rows, unit, hot)
+    single = hot_windows(rows, unit, hot).select(
+        F.col("window").alias("group"), F.lit(window).alias("length"), F.col("n").cast("int").alias("occurrences"),
+        "ka", "kb", "doc_id", F.col("first").alias("start"),
+    )
 
     def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, place, owner, start, room, left = repeats_of(batch, window)
@@ -138,13 +144,15 @@ def maximal_groups(rows: DataFrame, window: int = 200, piece: int = 32) -> DataF
             ["group", "length", "occurrences", "ka", "kb", "doc_id", "start"],
         )
 
-    return by_name(cut, solve, GROUPS, _WINDOWS)
+    return by_name(cut, solve, GROUPS, _WINDOWS).unionByName(single)
 
 
-def covered(rows: DataFrame, window: int = 200, piece: int = 32) -> DataFrame:
+def covered(rows: DataFrame, window: int = 200, piece: int = 32, hot: int = HOT) -> DataFrame:
     """``ka, kb, start, end``: the bytes that maximal repeats cover. Of nested groups at one place the
     deepest is enough, so an occurrence gives one range."""
-    cut = segments(rows, Unit(False, window, piece))
+    unit = Unit(False, window, piece)
+    cut = segments(rows, unit, hot)
+    single = hot_windows(rows, unit, hot)
 
     def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, place, owner, start, room, left = repeats_of(batch, window)
@@ -164,4 +172,5 @@ def covered(rows: DataFrame, window: int = 200, piece: int = 32) -> DataFrame:
             ["ka", "kb", "start", "end"],
         )
 
-    return by_name(cut, solve, "ka long, kb long, start long, end long", _WINDOWS)
+    ranges_ = by_name(cut, solve, "ka long, kb long, start long, end long", _WINDOWS)
+    return ranges_.unionByName(single.select("ka", "kb", F.col("first").alias("start"), (F.col("first") + window).alias("end")))

@@ -374,8 +374,8 @@ def _word_digest(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_repeats_in_made_up_texts(spark, awkward, seed):
+@pytest.mark.parametrize("seed, hot", [(0, repeats.HOT), (1, repeats.HOT), (0, 3), (1, 0)])
+def test_repeats_in_made_up_texts(spark, awkward, seed, hot):
     rng = np.random.default_rng(seed)
     alphabet = "ab\x00" if seed else "abcdefghijklmnop"
     pool = ["".join(rng.choice(list(alphabet), 700)) for _ in range(3)]
@@ -393,11 +393,11 @@ def test_repeats_in_made_up_texts(spark, awkward, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     keyed = repeats.keyed(df)
     fields, run = queries._kept_digest(False, 200, "n_bytes")
-    got = repeats.with_ranges(keyed, suffix.covered(keyed, 200)).mapInArrow(run, fields).collect()
+    got = repeats.with_ranges(keyed, suffix.covered(keyed, 200, hot=hot)).mapInArrow(run, fields).collect()
     expected = [(i, *d) for (i, _), d in zip(rows, _byte_digest([t for _, t in rows]))]
     assert Counter(map(tuple, got)) == Counter(expected)
     fields, run = queries._kept_digest(True, 20, "n_words")
-    got = repeats.with_ranges(keyed, phrases.covered(keyed, 20)).mapInArrow(run, fields).collect()
+    got = repeats.with_ranges(keyed, phrases.covered(keyed, 20, hot=hot)).mapInArrow(run, fields).collect()
     expected = [(i, *d) for (i, _), d in zip(rows, _word_digest(rows))]
     assert Counter(map(tuple, got)) == Counter(expected)
 
