@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import checkpoint
+from .frames import checkpoint, join_counts
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,12 +30,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = (
-            both.join(least, "u").filter("v > u")
+            join_counts(both, least, "u").filter("v > u")
             .select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         )
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(
+        small = join_counts(large, least, "hi").select(
             F.explode(F.array(F.struct("hi", "m"), F.struct(F.col("lo").alias("hi"), "m"))).alias("e")
         )
         edges = checkpoint(

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that are handled at once in a task.
 BATCH_BYTES = 8 << 20
@@ -30,6 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def join_counts(rows: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``rows`` inner join ``counts``, which were aggregated by ``key`` (a long).
+
+    An aggregate is already dealt by its key, and a join on that alone would read it in place, where
+    adaptive execution cannot split a key that holds much of ``rows``. A second key column, which says
+    the same, has both sides shuffled for the join, and then it can.
+    """
+    def again(df: DataFrame) -> DataFrame:
+        return df.withColumn("_again", F.col(key).bitwiseXOR(F.lit(0x5BD1E995)))
+
+    return again(rows).join(again(counts), [key, "_again"]).drop("_again")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there, without its lineage."""
     shared_folder(df.sparkSession)

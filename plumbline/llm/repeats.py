@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import flat_bytes, mix, ranges, slices
+from .frames import flat_bytes, join_counts, mix, ranges, slices
 
 #: Windows in a run at most; longer runs, of periodic text, are cut.
 MAX_RUN = 256
@@ -197,7 +197,7 @@ def repeated_runs(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
         F.shiftright("place", 1).bitwiseAND(F.lit(4095)).cast("int").alias("windows"),
         "hot",
     )
-    return found.join(often, "name").groupBy("ka", "kb").agg(
+    return join_counts(found, often, "name").groupBy("ka", "kb").agg(
         F.sort_array(F.collect_set(run)).alias("runs"), F.bool_or("hot").alias("any_hot")
     )
 
@@ -234,7 +234,11 @@ def hot_windows(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
     found = joined.mapInArrow(name, "wa long, wb long, ka long, kb long, doc_id long, first long")
     place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "first")
     counted = found.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
-    return found.join(counted, ["wa", "wb"]).select(
+    # Joined by one hash of both halves of the name, and compared by the halves.
+    both = F.xxhash64("wa", "wb")
+    counted = counted.select(both.alias("both"), F.col("wa").alias("a"), F.col("wb").alias("b"), "n", "least")
+    near = join_counts(found.withColumn("both", both), counted, "both").filter("wa = a AND wb = b")
+    return near.select(
         F.col("wa").alias("window"), "ka", "kb", "doc_id", "first", "n", (place == F.col("least")).alias("earliest")
     )
 
