@@ -14,10 +14,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .frames import ranges
-from .repeats import HOT, Unit, by_name, hot_windows, merged, segments
+from .repeats import HOT, Unit, by_name, hot_ranges, merged, segments
 
 #: Windows in a shard, at most about; a phrase has ``window`` nodes of some 60 bytes.
 _WINDOWS = 100_000
@@ -51,7 +50,6 @@ def covered(rows: DataFrame, window: int = 20, piece: int = 5, hot: int = HOT) -
     """``ka, kb, start, end``: the words covered by phrases that also start earlier."""
     unit = Unit(True, window, piece)
     cut = segments(rows, unit, hot)
-    single = hot_windows(rows, unit, hot).filter("not earliest")
 
     def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
@@ -93,4 +91,4 @@ def covered(rows: DataFrame, window: int = 20, piece: int = 5, hot: int = HOT) -
         )
 
     ranges_ = by_name(cut, solve, "ka long, kb long, start long, end long", _WINDOWS)
-    return ranges_.unionByName(single.select("ka", "kb", F.col("first").alias("start"), (F.col("first") + window).alias("end")))
+    return ranges_.unionByName(hot_ranges(rows, unit, hot, later=True))

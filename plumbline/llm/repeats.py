@@ -11,8 +11,9 @@ so a text that a third of all rows share is cut once. Names are counted before t
 counts are joined back, which adaptive execution splits where one name is very common.
 
 A name with more than ``HOT`` runs, as of a passage in a third of all texts, is not gathered in one
-task. Its windows are named one by one by 128 bits of all they hold, counted with a map-side step, and
-joined back (``hot_windows``); the result is the same.
+task. Runs that hold the same are counted with a map-side step; windows of different runs are named one
+by one by 128 bits of all they hold, counted likewise, and joined back (``hot_ranges``); the result is
+the same.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import flat_bytes, join_counts, mix, ranges, slices
@@ -202,9 +203,9 @@ def repeated_runs(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
     )
 
 
-def hot_windows(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
-    """``window, ka, kb, doc_id, first, n, earliest``: each window of runs with a hot name that stands
-    at ``n`` > 1 places, and whether this is its earliest one (by ``doc_id``, null first, and place)."""
+def _hot_runs(rows: DataFrame, unit: Unit, hot: int) -> DataFrame:
+    """``ka, kb, doc_id, first, ra, rb, wa, wb``: each run with a hot name, the two halves of its own
+    name, which says all it holds, and of the names of its windows in order."""
     wanted = repeated_runs(rows, unit, hot).filter("any_hot").hint("shuffle_hash")
     joined = _chosen(rows).join(wanted, ["ka", "kb"])
 
@@ -216,30 +217,88 @@ def hot_windows(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
                 own = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
                 flat = lists.flatten()
                 use = flat.field("hot").to_numpy(zero_copy_only=False)
-                first, windows = flat.field("first").to_numpy()[use], flat.field("windows").to_numpy()[use]
-                own = np.repeat(own[use], windows)
-                first = ranges(first, windows)
-                place = begin[own] + first
-                names = [rolling(v, unit.window)[place] for v in (values, mix(values + np.uint64(7)))] if len(place) else [place] * 2
+                own, first, windows = own[use], flat.field("first").to_numpy()[use], flat.field("windows").to_numpy()[use]
+                if not len(own):
+                    continue
+                place, step = ranges(begin[own] + first, windows), mix(ranges(np.zeros(len(own)), windows))
+                cuts = np.concatenate(([0], np.cumsum(windows))).astype(np.int32)
+                of_runs, of_windows = [], []
+                for half in (values, mix(values + np.uint64(7))):
+                    names = mix(rolling(half, unit.window)[place])
+                    of_runs.append(pa.array(np.add.reduceat(mix(names + step), cuts[:-1]).view(np.int64)))
+                    of_windows.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(names.view(np.int64))))
                 at = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(mix(x.astype(np.uint64)).view(np.int64)) for x in names),
-                        *(part.column(c).take(at) for c in ("ka", "kb", "doc_id")),
-                        pa.array(first),
-                    ],
-                    ["wa", "wb", "ka", "kb", "doc_id", "first"],
+                    [*(part.column(c).take(at) for c in ("ka", "kb", "doc_id")), pa.array(first), *of_runs, *of_windows],
+                    ["ka", "kb", "doc_id", "first", "ra", "rb", "wa", "wb"],
                 )
 
-    found = joined.mapInArrow(name, "wa long, wb long, ka long, kb long, doc_id long, first long")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), "first")
-    counted = found.groupBy("wa", "wb").agg(F.count("*").alias("n"), F.min(place).alias("least")).filter("n > 1")
+    return joined.mapInArrow(
+        name, "ka long, kb long, doc_id long, first long, ra long, rb long, wa array<long>, wb array<long>"
+    )
+
+
+def _place(doc_id: str = "doc_id") -> Column:
+    return F.struct(F.coalesce(doc_id, F.lit(-(2**63))).alias("doc"), "first")
+
+
+def _join_names(rows: DataFrame, counted: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows`` with what ``counted`` says of their name ``a, b``; its columns must differ otherwise."""
     # Joined by one hash of both halves of the name, and compared by the halves.
-    both = F.xxhash64("wa", "wb")
-    counted = counted.select(both.alias("both"), F.col("wa").alias("a"), F.col("wb").alias("b"), "n", "least")
-    near = join_counts(found.withColumn("both", both), counted, "both").filter("wa = a AND wb = b")
-    return near.select(
-        F.col("wa").alias("window"), "ka", "kb", "doc_id", "first", "n", (place == F.col("least")).alias("earliest")
+    both = F.xxhash64(a, b)
+    named = counted.withColumn("both", both).withColumnsRenamed({a: "name_a", b: "name_b"})
+    return join_counts(rows.withColumn("both", both), named, "both").filter((F.col(a) == F.col("name_a")) & (F.col(b) == F.col("name_b")))
+
+
+def hot_windows(rows: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
+    """``window, ka, kb, doc_id, first, n``: each window of runs with a hot name that stands at
+    ``n`` > 1 places."""
+    found = _hot_runs(rows, unit, hot).select(
+        "ka", "kb", "doc_id", "first", F.posexplode(F.arrays_zip("wa", "wb")).alias("step", "w")
+    ).select("w.wa", "w.wb", "ka", "kb", "doc_id", (F.col("first") + F.col("step")).alias("first"))
+    counted = found.groupBy("wa", "wb").agg(F.count("*").alias("n")).filter("n > 1")
+    near = _join_names(found, counted, "wa", "wb")
+    return near.select(F.col("wa").alias("window"), "ka", "kb", "doc_id", "first", "n")
+
+
+def _islands(steps: str) -> Column:
+    """First and last of each stretch of neighbouring numbers in an array of at most ``MAX_RUN``."""
+    s = F.col(steps)
+    heads = F.filter(s, lambda x: ~F.array_contains(s, x - 1))
+    tails = F.filter(s, lambda x: ~F.array_contains(s, x + 1))
+    return F.zip_with(heads, tails, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def hot_ranges(rows: DataFrame, unit: Unit, hot: int = HOT, later: bool = False) -> DataFrame:
+    """``ka, kb, start, end``: the units covered by windows of runs with a hot name that stand at two
+    places or more; with ``later`` without the earliest place of each (by ``doc_id``, null first, and
+    place).
+
+    Runs that hold the same are counted first, and windows are compared among different runs only, so
+    a passage costs a row for each run of it, not for each window, wherever it stands. A window's
+    earliest place is in the earliest place of a run, so a run has two results: there and elsewhere.
+    """
+    found = _hot_runs(rows, unit, hot)
+    distinct = found.groupBy("ra", "rb").agg(
+        F.count("*").alias("copies"), F.min(_place()).alias("origin"), F.any_value(F.arrays_zip("wa", "wb")).alias("names")
+    )
+    each = distinct.select("ra", "rb", "copies", "origin", F.posexplode("names").alias("step", "w")).select(
+        "ra", "rb", "copies", "origin", "step", "w.wa", "w.wb",
+        F.struct(F.col("origin.doc").alias("doc"), (F.col("origin.first") + F.col("step")).alias("first")).alias("at"),
+    )
+    counted = each.groupBy("wa", "wb").agg(F.sum("copies").alias("n"), F.min("at").alias("least")).filter("n > 1")
+    again = _join_names(each, counted, "wa", "wb")
+    steps = again.groupBy("ra", "rb").agg(
+        F.any_value("origin").alias("origin"),
+        F.collect_list("step").alias("everywhere"),
+        F.collect_list(F.when(F.col("at") != F.col("least"), F.col("step"))).alias("beyond"),
+    ).select("ra", "rb", "origin", *(F.sort_array(c).alias(c) for c in ("everywhere", "beyond")))
+    parts = steps.select("ra", "rb", "origin", *(_islands(c).alias(c) for c in ("everywhere", "beyond")))
+    joined = _join_names(found.select("ka", "kb", "doc_id", "first", "ra", "rb"), parts, "ra", "rb")
+    own = F.when(F.lit(later) & (_place() == F.col("origin")), F.col("beyond")).otherwise(F.col("everywhere"))
+    return joined.select("ka", "kb", "first", F.explode(own).alias("part")).select(
+        "ka", "kb", (F.col("first") + F.col("part.a")).alias("start"),
+        (F.col("first") + F.col("part.b") + unit.window).alias("end"),
     )
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import flat_bytes, mix
-from .repeats import HOT, Unit, by_name, hot_windows, merged, rolling, segments
+from .repeats import HOT, Unit, by_name, hot_ranges, hot_windows, merged, rolling, segments
 
 #: Windows that are in hand at once.
 _WINDOWS = 100_000
@@ -152,7 +152,6 @@ def covered(rows: DataFrame, window: int = 200, piece: int = 32, hot: int = HOT)
     deepest is enough, so an occurrence gives one range."""
     unit = Unit(False, window, piece)
     cut = segments(rows, unit, hot)
-    single = hot_windows(rows, unit, hot)
 
     def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raw, place, owner, start, room, left = repeats_of(batch, window)
@@ -173,4 +172,4 @@ def covered(rows: DataFrame, window: int = 200, piece: int = 32, hot: int = HOT)
         )
 
     ranges_ = by_name(cut, solve, "ka long, kb long, start long, end long", _WINDOWS)
-    return ranges_.unionByName(single.select("ka", "kb", F.col("first").alias("start"), (F.col("first") + window).alias("end")))
+    return ranges_.unionByName(hot_ranges(rows, unit, hot))
