@@ -120,6 +120,28 @@ def at_month_ends(stretches: DataFrame, last_day: Column) -> DataFrame:
     )
 
 
+def at_cohort_month_ends(stretches: DataFrame, last_day: Column) -> DataFrame:
+    """The stretches cut down to each cohort's latest snapshot in each month: its last day with an
+    open user. That is the month's end, or ``last_day``, unless the cohort's last account closes
+    before it. As few days are unfolded as by :func:`at_month_ends`.
+
+    All stretches of the cohort that hold the day are kept, closed ones too, as their activity
+    counts. So a cube of these is whole for cohorts only; its other cells lack the cohorts whose
+    latest snapshot is another day.
+    """
+    months = F.sequence(F.trunc("start_day", "month"), F.col("end_day"), F.expr("interval 1 month"))
+    by_month = stretches.withColumn("_month", F.explode(months))
+    latest = F.least(F.last_day("_month"), F.col("end_day"), last_day)
+    # One row per cohort and month: small, whatever the number of users.
+    days = by_month.where("is_open").groupBy("signup_cohort", "_month").agg(F.max(latest).alias("_day"))
+    kept = [c for c in stretches.columns if c not in ("start_day", "end_day")]
+    return (
+        by_month.join(days, ["signup_cohort", "_month"])
+        .where(F.col("_day").between(F.col("start_day"), F.col("end_day")))
+        .select(*kept, F.col("_day").alias("start_day"), F.col("_day").alias("end_day"))
+    )
+
+
 def user_days(stretches: DataFrame) -> DataFrame:
     """One row per user, type, age bucket and day; partitioned by user."""
     return segments_to_days(stretches, "start_day", "end_day", "snapshot_date")

@@ -345,12 +345,12 @@ def _monthly(body: str) -> str:
     return f"WITH {oracle.LONG_CUBE} {body}"
 
 
-def _monthly_cube(spark, sf, month_ends=False):
+def _monthly_cube(spark, sf, cohort_ends=False):
     src = views.accounts_long(spark, sf)
     last = lifecycle.latest_day(src).scalar()
     stretches = active_users.user_stretches(lifecycle.account_segments(src), last)
-    if month_ends:
-        stretches = active_users.at_month_ends(stretches, last)
+    if cohort_ends:
+        stretches = active_users.at_cohort_month_ends(stretches, last)
     return active_users.active_user_cube(stretches, views.ACCOUNT_TYPES)
 
 
@@ -371,7 +371,7 @@ WHERE signup_cohort <> 'ALL' AND (snapshot_date = last_day(snapshot_date)
 
 @register("cohort_retention", _monthly(_RETENTION))
 def cohort_retention(spark, sf):
-    return cohorts.cohort_retention(_monthly_cube(spark, sf, month_ends=True))
+    return cohorts.cohort_retention(_monthly_cube(spark, sf, cohort_ends=True))
 
 
 MONTHS = range(13)
@@ -385,7 +385,7 @@ MONTHS = range(13)
     )),
 )
 def cohort_matrix(spark, sf):
-    cube = _monthly_cube(spark, sf, month_ends=True)
+    cube = _monthly_cube(spark, sf, cohort_ends=True)
     return cohorts.cohort_matrix(cohorts.cohort_retention(cube), MONTHS)
 
 

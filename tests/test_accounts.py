@@ -4,12 +4,14 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import check
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from plumbline.plans import active_users, incremental, lifecycle
+from plumbline.plans import active_users, cohorts, incremental, lifecycle
 from plumbline.sources.storage import publish, shared_folder
+from plumbline.testbed import oracle, views
 
 EDGES = (3, 7, 14)
 LABELS = ["0-3 (new)", "4-7", "8-14", "15+ (established)"]
@@ -272,3 +274,23 @@ def test_dense_rows_are_neither_shuffled_nor_broadcast(spark, sf, plan, name, br
     moved = [line for line in lines[:unfold] if "Exchange" in line]
     # What is counted per day may move, once it is counted.
     assert all("snapshot_date" in line and "user_id" not in line and "account_id" not in line for line in moved)
+
+
+def test_a_cohort_that_closes_before_the_month_ends_keeps_its_latest_snapshot(spark, sf):
+    src = views.accounts_long(spark, sf)
+    last = lifecycle.latest_day(src).scalar()
+    stretches = active_users.user_stretches(lifecycle.account_segments(src), last)
+    cube = active_users.active_user_cube(active_users.at_cohort_month_ends(stretches, last))
+    got = rows_of(cohorts.cohort_retention(cube))
+    # As in the reference: the last row of each cohort and month, whatever its day.
+    latest = f"""
+        WITH {oracle.LONG_CUBE}, monthly AS (
+          SELECT *, CAST(date_diff('month', CAST(signup_cohort AS DATE), snapshot_date) AS INTEGER) AS months
+          FROM active_user_cube WHERE signup_cohort <> 'ALL')
+        SELECT signup_cohort, months, arg_max(active_users_7d_rate, snapshot_date),
+               arg_max(open_users, snapshot_date), max(snapshot_date) = last_day(max(snapshot_date))
+                 OR max(snapshot_date) = (SELECT d FROM last_day) AS at_end
+        FROM monthly GROUP BY 1, 2"""
+    expected = sorted(check.oracle(sf).execute(latest).fetchall())
+    assert any(not row[4] for row in expected)  # such cohorts are there
+    assert got == [row[:4] for row in expected]
