@@ -9,10 +9,10 @@ of letters and digits in lower case, so layout and punctuation don't matter.
 2. CGK: a random walk copies a window into a string of 3m symbols, at each step going on to the next
    word or not, by a random bit of step and word. Strings at a small edit distance become strings at
    a small Hamming distance.
-3. Bit sampling: each of ``repeats`` walks is sampled at a few places, the sample is the hash key,
-   and windows that share a key with an item of their size are candidates. The number of repeats
-   follows from the share of edited items that meet in one repeat, measured on the items themselves,
-   so that ``target_recall`` is reached.
+3. Bit sampling: each of some walks is sampled at a few places, the sample is the hash key, and
+   windows that share a key with an item of their size are candidates. How many repeats a size needs
+   for ``target_recall`` is measured with the walks themselves, on copies of its items with all the
+   edits they may have. Where it is more than ``MAX_REPEATS``, windows are compared with every item.
 4. The word edit distance of each candidate is computed exactly.
 
 Items are taken in blocks of at most ``BLOCK_WORDS`` words, which travel to the tasks; each block is
@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import mix, slices, texts
@@ -38,6 +38,12 @@ from .frames import mix, slices, texts
 BLOCK_WORDS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 _SAMPLED = 3
+#: Repeats that every size has, however few reach the target.
+LEAST_REPEATS = 40
+#: Repeats from which comparing a window with all items of its size is no dearer than walking on.
+MAX_REPEATS = 200
+#: Edited copies of the items of a size on which its repeats are measured.
+_COPIES = 1_000
 #: Text bytes that are searched at once.
 _BATCH = 16 << 20
 #: Longest run of words that is counted. Word numbers fit 21 bits, so that a run is one number.
@@ -81,13 +87,15 @@ class Items:
     symbols: list[np.ndarray]
     vocabulary: dict[str, int]
     max_edit: float
-    repeats: int
     seed: int
     sizes: dict[int, list[int]] = field(default_factory=dict)
+    #: Walks for each size; none where windows are compared with all items of the size.
+    repeats: dict[int, int] = field(default_factory=dict)
     runs: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], max_edit: float, target_recall: float, seed: int) -> Items:
+    def of(cls, rows: list[tuple[int, str]], max_edit: float, seed: int) -> Items:
+        """Without ``repeats``, which are measured for each size by ``repeats_for``."""
         vocabulary: dict[str, int] = {}
         names, symbols = [], []
         for name, text in rows:
@@ -95,15 +103,13 @@ class Items:
             if found:
                 names.append(name)
                 symbols.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64))
-        items = cls(names, symbols, vocabulary, max_edit, 1, seed)
+        items = cls(names, symbols, vocabulary, max_edit, seed)
         for i, s in enumerate(symbols):
             items.sizes.setdefault(len(s), []).append(i)
         for q in range(1, _RUN + 1):
             for size, members in [(0, range(len(symbols))), *items.sizes.items()]:
                 own = [runs_of(symbols[i], q) for i in members if len(symbols[i]) >= q]
                 items.runs[size, q] = np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
-        if symbols:
-            items.repeats = items._repeats_for(target_recall)
         return items
 
     def budget(self, size: int) -> int:
@@ -126,31 +132,44 @@ class Items:
             at = np.minimum(at + ((bits[rows, at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64), size)
         return key
 
-    def _repeats_for(self, target: float) -> int:
-        """How many repeats make the least similar edited items meet with probability ``target``."""
-        rng = np.random.default_rng(self.seed)
-        worst = 1.0
-        for size in sorted(self.sizes)[:: max(1, len(self.sizes) // 8)]:
-            budget = self.budget(size)
-            if not budget:
-                continue
-            item = self.symbols[self.sizes[size][0]]
-            edited = []
-            for _ in range(200):
-                word = item.tolist()
-                for _ in range(budget):
-                    spot, what = int(rng.integers(len(word))), int(rng.integers(3))
-                    if what == 0:
-                        word[spot] = -int(rng.integers(1, 1 << 30))
-                    elif what == 1:
-                        word.insert(spot, -int(rng.integers(1, 1 << 30)))
-                    elif len(word) > 1:
-                        del word[spot]
-                edited.append((word + [0] * size)[:size])
-            both = np.concatenate((item[None], np.array(edited)))
-            met = np.mean([np.mean((k := self.keys(both, r))[1:] == k[0]) for r in range(8)])
-            worst = min(worst, max(float(met), 0.02))
-        return 1 if worst >= 1 else math.ceil(math.log(1 - target) / math.log(1 - worst))
+    def edited(self, size: int, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Item numbers, all of ``size`` in turn, and a window of that size for each, ``budget`` edits
+        away: changed, added and removed words, the first ones included."""
+        which = np.resize(self.sizes[size], n)
+        copies = []
+        for i in which:
+            word = self.symbols[i].tolist()
+            for _ in range(self.budget(size)):
+                spot, what = int(rng.integers(len(word))), int(rng.integers(3))
+                if what == 0:
+                    word[spot] = -int(rng.integers(1, 1 << 30))
+                elif what == 1:
+                    word.insert(spot, -int(rng.integers(1, 1 << 30)))
+                elif len(word) > 1:
+                    del word[spot]
+            copies.append((word + [0] * size)[:size])
+        return which, np.array(copies, np.int64)
+
+    def repeats_for(self, size: int, target: float) -> int:
+        """How many walks make a share of ``target`` of the edited copies meet their items, or zero for
+        more than ``MAX_REPEATS``.
+
+        It is the share of copies that meet in none of the walks which counts, not the mean rate of a
+        walk: copies whose edits are early seldom meet. Two standard errors are added to it.
+        """
+        if not self.budget(size):
+            return 1  # equal windows have equal walks
+        which, copies = self.edited(size, _COPIES, np.random.default_rng([self.seed, size]))
+        members = np.array(self.sizes[size])
+        rows = np.stack([self.symbols[i] for i in members])
+        allowed = (1 - target) * len(copies)
+        for repeat in range(MAX_REPEATS):
+            own = dict(zip(members.tolist(), self.keys(rows, repeat).tolist()))
+            apart = self.keys(copies, repeat) != np.array([own[i] for i in which.tolist()], np.uint64)
+            which, copies = which[apart], copies[apart]
+            if len(copies) + 2 * math.sqrt(len(copies)) <= allowed:
+                return max(LEAST_REPEATS, repeat + 1)
+        return 0
 
     def finder(self) -> Callable[[list[str]], list[tuple[int, int, int, int, int]]]:
         """A function of texts to ``(text number, item number, first word, words, edits)``: the best
@@ -160,7 +179,7 @@ class Items:
         tables = {}
         for size, members in self.sizes.items():
             rows = np.stack([self.symbols[i] for i in members])
-            for repeat in range(self.repeats):
+            for repeat in range(self.repeats[size]):
                 keys = self.keys(rows, repeat)
                 order = np.argsort(keys, kind="stable")
                 tables[size, repeat] = keys[order], np.array(members)[order]
@@ -204,20 +223,26 @@ class Items:
                         places_ = some[:, None] + np.arange(width)
                         run = sum(flat[places_ + i] << (21 * (q - 1 - i)) for i in range(q))
                         some = some[_among(run, self.runs[size, q]).sum(1) >= width - q * budget]
+                    if not len(some):
+                        continue
+                    if not self.repeats[size]:
+                        for item in self.sizes[size]:
+                            candidates.setdefault(item, []).append(some)
+                        continue
                     windows = flat[some[:, None] + np.arange(size)]
-                    for repeat in range(self.repeats if len(some) else 0):
+                    for repeat in range(self.repeats[size]):
                         keys = self.keys(windows, repeat)
                         table, members = tables[size, repeat]
                         lo = np.searchsorted(table, keys, side="left")
                         hi = np.searchsorted(table, keys, side="right")
                         for k in np.flatnonzero(hi > lo):
                             for item in set(members[lo[k] : hi[k]].tolist()):
-                                candidates.setdefault(item, []).append(some[k])
+                                candidates.setdefault(item, []).append(some[k : k + 1])
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for item, places in candidates.items():
                 symbol = self.symbols[item]
                 size, budget = len(symbol), self.budget(len(symbol))
-                at = np.unique(places)
+                at = np.unique(np.concatenate(places))
                 doc = np.searchsorted(starts, at, side="right") - 1
                 for a in range(0, len(at), 1 << 12):
                     some, own = at[a : a + (1 << 12)], doc[a : a + (1 << 12)]
@@ -246,11 +271,31 @@ def item_blocks(benchmark: DataFrame, max_edit: float, target_recall: float, see
     n = max(1, math.ceil(total / BLOCK_WORDS))
     for block in range(n):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
-        items = Items.of(sorted(map(tuple, part.collect()), key=str), max_edit, target_recall, seed)
+        items = Items.of(sorted(map(tuple, part.collect()), key=str), max_edit, seed)
         if items.names:
+            items.repeats = _measured(benchmark.sparkSession, items, target_recall)
             yield items
 
 
+def _measured(spark: SparkSession, items: Items, target_recall: float) -> dict[int, int]:
+    """The repeats of each size, measured in tasks; a row for each size comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_pylist()
+            repeats = [items.repeats_for(s, target_recall) for s in sizes]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(repeats, pa.int64())], ["size", "repeats"])
+
+    # One after the other, so that long sizes are spread over the tasks.
+    order = sorted(items.sizes)
+    tasks = min(len(order), 4 * spark.sparkContext.defaultParallelism)
+    numbers = spark.range(0, tasks, 1, tasks).select(
+        F.explode(F.array(*(F.array(*map(F.lit, order[t::tasks])) for t in range(tasks)))[F.col("id").cast("int")]).alias("size")
+    )
+    rows = numbers.select(F.col("size").cast("long")).mapInArrow(run, "size long, repeats long").collect()
+    return {r["size"]: r["repeats"] for r in rows}
+
+
 _HITS = "doc_id long, item_id long, first_word long, n_words long, edits long"
 
 

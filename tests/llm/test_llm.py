@@ -310,6 +310,57 @@ def test_decontamination_matches_exact_search(spark):
     assert all(abs(got[k] - expected[k]) <= 1 for k in got)
 
 
+def _recall_at_the_budget(spark, items, per_item, seed=5):
+    """Share of planted copies that are found, with all the edits they may have, by number of words."""
+    rng = np.random.default_rng(seed)
+    docs, planted = [], {}
+    for name, text in items.items():
+        for _ in range(per_item):
+            word = text.split()
+            for _ in range(int(0.2 * len(word))):
+                spot, what = int(rng.integers(len(word))), int(rng.integers(3))
+                if what == 0:
+                    word[spot] = f"changed{len(docs)}"
+                elif what == 1:
+                    word.insert(spot, f"added{len(docs)}")
+                else:
+                    del word[spot]
+            planted[len(docs)] = name
+            docs.append((len(docs), "some words before " + " ".join(word) + " and some after"))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    hits = decontaminate.leaks(rows, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in hits.collect()}
+    sizes: dict[int, list[bool]] = {}
+    for doc, name in planted.items():
+        sizes.setdefault(len(items[name].split()), []).append((doc, name) in found)
+    return {size: np.mean(x) for size, x in sizes.items()}
+
+
+def test_decontamination_recall_at_the_whole_budget_of_each_size():
+    rng = np.random.default_rng(2)
+    # The longest size is an outlier that a sample of the sizes leaves out, and needs the most walks.
+    rows = [(n, " ".join(f"w{x}" for x in rng.integers(0, 10**6, size))) for n, size in enumerate([*range(20, 36), 60, 75])]
+    items = decontaminate.Items.of(rows, 0.2, 7)
+    for size in items.sizes:
+        repeats = items.repeats_for(size, 0.98)
+        which, copies = items.edited(size, 2_000, np.random.default_rng(99))  # other copies than it measures
+        met = np.zeros(len(copies), bool)
+        for repeat in range(repeats):
+            met |= items.keys(copies, repeat) == items.keys(items.symbols[which[0]][None], repeat)[0]
+        assert met.mean() >= 0.98, (size, repeats)
+        if size >= 60:
+            assert repeats > 36
+
+
+def test_decontamination_finds_long_items_at_the_whole_budget(spark):
+    rng = np.random.default_rng(3)
+    # Walks along the longest drift so far apart that its windows are compared with all items.
+    items = {n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, size)) for n, size in enumerate((10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 300))}
+    recall = _recall_at_the_budget(spark, items, 60)
+    assert recall[300] >= 0.98 and recall[60] >= 0.95
+    assert np.mean(list(recall.values())) >= 0.98
+
+
 def test_decontamination_of_awkward_rows(spark, awkward):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "a b"), (None, "before shared0 passage")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(awkward, items).collect()} == {(10, 3), (4, None), (6, None)}
