@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -79,6 +80,18 @@ def edit_distances(item: np.ndarray, windows: np.ndarray, length: np.ndarray | N
     return row
 
 
+def apart(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of ``(edits, first word, words)`` the least, and on from there each that overlaps none before it."""
+    chosen: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []
+    for edits, first, size in sorted(places):
+        at = bisect(taken, (first, 0))
+        if (not at or taken[at - 1][1] <= first) and (at == len(taken) or first + size <= taken[at][0]):
+            taken.insert(at, (first, first + size))
+            chosen.append((edits, first, size))
+    return chosen
+
+
 @dataclass
 class Items:
     """A block of benchmark items, ready for tasks."""
@@ -171,9 +184,10 @@ class Items:
                 return max(LEAST_REPEATS, repeat + 1)
         return 0
 
-    def finder(self) -> Callable[[list[str]], list[tuple[int, int, int, int, int]]]:
+    def finder(self, every_place: bool = False) -> Callable[[list[str]], list[tuple[int, int, int, int, int]]]:
         """A function of texts to ``(text number, item number, first word, words, edits)``: the best
-        place of each item in each text, fewest edits first, then leftmost, then shortest."""
+        place of each item in each text, fewest edits first, then leftmost, then shortest; or with
+        ``every_place`` all in that order that do not overlap."""
         margin = max((self.budget(s) for s in self.sizes), default=0)
         number = self.vocabulary.get
         tables = {}
@@ -238,7 +252,7 @@ class Items:
                         for k in np.flatnonzero(hi > lo):
                             for item in set(members[lo[k] : hi[k]].tolist()):
                                 candidates.setdefault(item, []).append(some[k : k + 1])
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            verified: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
             for item, places in candidates.items():
                 symbol = self.symbols[item]
                 size, budget = len(symbol), self.budget(len(symbol))
@@ -255,10 +269,12 @@ class Items:
                     end = distance.argmin(1)
                     for k, (d, n) in enumerate(zip(distance[np.arange(len(some)), end].tolist(), end.tolist())):
                         if d <= budget:
-                            where = (int(own[k]), item)
-                            found = (d, int(some[k] - starts[own[k]]), n)
-                            best[where] = min(best.get(where, found), found)
-            return [(d, self.names[i], at, n, e) for (d, i), (e, at, n) in sorted(best.items())]
+                            verified.setdefault((int(own[k]), item), []).append((d, int(some[k] - starts[own[k]]), n))
+            return [
+                (d, self.names[i], at, n, e)
+                for (d, i), places in sorted(verified.items())
+                for e, at, n in (apart(places) if every_place else [min(places)])
+            ]
 
         return find
 
@@ -300,17 +316,19 @@ _HITS = "doc_id long, item_id long, first_word long, n_words long, edits long"
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, target_recall: float = 0.98, seed: int = 7
+    docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, target_recall: float = 0.98, seed: int = 7,
+    every_place: bool = False,
 ) -> DataFrame:
     """``doc_id, item_id, first_word, n_words, edits``: for each row of ``docs`` and each item that it
-    holds within ``max_edit`` edits a word, the best place. Null and empty texts hold none; repeated
-    rows give repeated results; without documents or items there are no rows."""
+    holds within ``max_edit`` edits a word, the best place, or with ``every_place`` all that do not
+    overlap. Null and empty texts hold none; repeated rows give repeated results; without documents
+    or items there are no rows."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for items in item_blocks(benchmark, max_edit, target_recall, seed):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            find = items.finder()
+            find = items.finder(every_place)
             for batch in slices(batches, limit=_BATCH):
                 hits = find(texts(batch))
                 doc, rest = [h[0] for h in hits], list(zip(*[h[1:] for h in hits])) or [[]] * 4

@@ -361,6 +361,21 @@ def test_decontamination_finds_long_items_at_the_whole_budget(spark):
     assert np.mean(list(recall.values())) >= 0.98
 
 
+def test_decontamination_gives_every_copy_of_an_item_on_request(spark):
+    rng = np.random.default_rng(4)
+    item = [f"w{x}" for x in rng.integers(0, 10**6, 20)]
+    near = [*item[:9], "changed", *item[10:]]
+    text = " ".join(["before", *near, "between", *item, *near, "after", *item, *item])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(near))], "doc_id long, text string")
+    items = spark.createDataFrame([(3, " ".join(item))], "item_id long, text string")
+
+    def places(**every):
+        return sorted((r.doc_id, r.edits, r.first_word, r.n_words) for r in decontaminate.leaks(docs, items, **every).collect())
+
+    assert places() == [(1, 0, 22, 20), (2, 1, 0, 20)]
+    assert places(every_place=True) == [(1, 0, 22, 20), (1, 0, 63, 20), (1, 0, 83, 20), (1, 1, 1, 20), (1, 1, 42, 20), (2, 1, 0, 20)]
+
+
 def test_decontamination_of_awkward_rows(spark, awkward):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "a b"), (None, "before shared0 passage")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(awkward, items).collect()} == {(10, 3), (4, None), (6, None)}
