@@ -4,7 +4,7 @@ For each row and language the log probabilities of four sources are added:
 
 * text: a multinomial model of letter trigrams, fitted on labelled documents. Its weight is held to
   ``TEXT_WEIGHT`` trigrams, since neighbouring trigrams are not independent.
-* declared: the language that the markup declares. How far declarations can be trusted is a table of
+* declared: the language that the markup declares, read from the whole page. How far declarations can be trusted is a table of
   declared by true language, summed over all rows with the text model's posterior.
 * suffix: the last label of the address, as the share of each language among rows that have it,
   against the share among all rows.
@@ -33,10 +33,20 @@ from .frames import checkpoint, slices, texts
 
 MAX_ROWS, BUCKETS, TEXT_WEIGHT, STRENGTH = 4_000, 1 << 15, 60, 5.0
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_DECLARED = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 
 
+def declared_in(page: str) -> str | None:
+    """The language of the first html tag that declares one, wherever in the page it stands.
+
+    Tags are cut out first, so that many without an end cost one pass.
+    """
+    found = (_DECLARED.search(tag[1]) for tag in _HTML.finditer(page))
+    return next((lang[1].lower() for lang in found if lang), None)
+
+
 def plain(page: str) -> str:
     return html.unescape(_HIDDEN.sub(" ", page))
 
@@ -102,8 +112,8 @@ def from_pages(pages: DataFrame) -> DataFrame:
     def parts(url: pd.Series, page: pd.Series) -> pd.DataFrame:
         def one(u, p):
             p = p or ""
-            lang, host = _DECLARED.search(p[:4096]), _HOST.match(u or "")
-            return plain(p), lang[1].lower() if lang else None, host[1].lower().rstrip(".") if host else None
+            host = _HOST.match(u or "")
+            return plain(p), declared_in(p), host[1].lower().rstrip(".") if host else None
 
         return pd.DataFrame([one(u, p) for u, p in zip(url, page)], columns=["text", "declared", "host"], dtype=object)
 

@@ -157,6 +157,18 @@ def test_language_uses_each_source(spark):
     assert got[101].lang is not None
 
 
+def test_declared_language_is_read_from_the_whole_page(spark):
+    long = " " * 5_000
+    pages = [
+        f"<!-- {'licence ' * 1_000}--><html lang='de'>x", f"{long}<html lang=fr>", f'<html class="{long}" lang="es">', "<html>no", None,
+        f"<html>{long}<html data-x=1 LANG = 'PT-br'>", '<html><p lang="en">',
+    ]
+    rows = spark.createDataFrame([(i, "http://a.b/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in langid.from_pages(rows).collect()}
+    assert got == {0: "de", 1: "fr", 2: "es", 3: None, 4: None, 5: "pt", 6: None}
+    assert langid.declared_in("<html " * 200_000) is None  # in one pass
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs.filter("doc_id % 2 = 0"))
