@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, langid, phrases, repeats, secrets, simhash, suffix, toxicity
+from . import ann, bpe, chat, decontaminate, extract, langid, lexical, phrases, repeats, secrets, simhash, spelling, suffix, toxicity
 from .frames import read, slices, texts
 
 #: The tokenizer of op10; its file stays where it is installed.
@@ -252,6 +252,98 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op11_dense_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+OP11_SQL = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents
+), totals AS (
+    SELECT count(*) AS docs, sum(len(terms))::BIGINT AS terms FROM docs WHERE len(terms) > 0
+), held AS (
+    SELECT d, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs
+), tf AS (
+    SELECT d, doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals
+), items AS (
+    SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark
+), asked AS (
+    SELECT i, item_id, term, count(*) AS repeats FROM (SELECT i, item_id, unnest(terms) AS term FROM items) GROUP BY ALL
+), scored AS (
+    SELECT i, item_id, d, doc_id,
+        sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // totals.terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op12_permuterm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), min_length=7, min_count=2, noise=31, ratio=10)
+
+
+OP12_SQL = """
+WITH RECURSIVE steps AS (
+    SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS step
+    FROM range(256) r(i)
+), runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT d, run, count(*) AS times, hex(encode(d || ':' || run)) AS digits FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), hashed AS (
+    SELECT run, times, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(range(length(digits) // 2), lambda i: ('0x' || digits[2 * i + 1 : 2 * i + 2])::BIGINT)),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) AS h
+    FROM counted, steps
+), spelled AS (
+    SELECT times, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed
+), words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), shorter AS (
+    SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word AS word, b.word AS other FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+    UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (
+    SELECT near.word, count(*) AS n_near, max(o.n) AS best_n, arg_max(near.other, (o.n, -r.place)) AS best
+    FROM near JOIN words o ON o.word = near.other
+    JOIN (SELECT word, row_number() OVER (ORDER BY encode(word)) AS place FROM words) r ON r.word = near.other
+    GROUP BY near.word
+), formed AS (
+    SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.best_n >= 10 * w.n THEN b.best END AS form,
+        CASE WHEN b.best_n >= 10 * w.n THEN b.best_n END AS form_n
+    FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+), ends AS (
+    SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n FROM formed f JOIN ends e USING (word)
+"""
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.train(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_codes": op1_one_bit_codes,
     "op2_toxicity_chain": op2_toxicity_chain,
@@ -263,6 +355,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_phrase_automata": op9_phrase_automata,
     "op10_bpe": op10_bpe,
+    "op11_dense_tiles": op11_dense_tiles,
+    "op12_permuterm": op12_permuterm,
+    "op13_main_text": op13_main_text,
 }
 #: The other queries have no SQL that could run on whole tables; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op1_one_bit_codes": OP1_SQL, "op7_prefix_targets": OP7_SQL}
+ORACLE: dict[str, str] = {
+    "op1_one_bit_codes": OP1_SQL,
+    "op7_prefix_targets": OP7_SQL,
+    "op11_dense_tiles": OP11_SQL,
+    "op12_permuterm": OP12_SQL,
+}
