@@ -358,10 +358,10 @@ def train(pages: DataFrame, seed: int = 5) -> Model:
     sample = usable.orderBy(likely, F.xxhash64("page_id", F.lit(seed)), F.xxhash64("html")).limit(TRAIN_PAGES)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"model": [pickle.dumps(fit(sorted(rows["html"]), seed))]})
+        return pd.DataFrame({"model": [pickle.dumps(tuple(vars(fit(sorted(rows["html"]), seed)).values()))]})
 
-    found = sample.groupBy(F.lit(0)).applyInPandas(run, "model binary").collect()
-    return pickle.loads(found[0][0]) if found else fit([], seed)
+    found = sample.withColumn("model", F.lit(0)).groupBy("model").applyInPandas(run, "model binary").collect()
+    return Model(*pickle.loads(found[0][0])) if found else fit([], seed)
 
 
 def decode(page: dom.Page, odds: list[float]) -> list[str]:

@@ -563,5 +563,9 @@ def test_operators_on_awkward_and_empty_tables(spark, awkward, tmp_path, empty):
             assert (-7 in {r.conv_id for r in rows}) and (len(rows) == 1) == empty
         elif name in ("op1_one_bit_codes", "op6_decontaminate", "op3_language"):
             assert not rows or not empty
+        elif name in ("op11_dense_tiles", "op12_permuterm"):
+            assert bool(rows) == (not empty)
+        elif name == "op13_main_text":
+            assert len(rows) == (0 if empty else 50)
         else:
             assert len(rows) == (0 if empty else 12), name
