@@ -26,6 +26,7 @@ import re
 from bisect import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat as repeat_
 
 import numpy as np
 import pandas as pd
@@ -104,11 +105,13 @@ class Items:
     sizes: dict[int, list[int]] = field(default_factory=dict)
     #: Walks for each size; none where windows are compared with all items of the size.
     repeats: dict[int, int] = field(default_factory=dict)
+    #: The sampled walks of the items of a size: a row for each repeat, as ``keys`` gives them.
+    walks: dict[int, np.ndarray] = field(default_factory=dict)
     runs: dict[tuple[int, int], np.ndarray] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], max_edit: float, seed: int) -> Items:
-        """Without ``repeats``, which are measured for each size by ``repeats_for``."""
+        """Without ``repeats`` and ``walks``, which are made for each size by ``repeats_for``, ``walked``."""
         vocabulary: dict[str, int] = {}
         names, symbols = [], []
         for name, text in rows:
@@ -134,15 +137,17 @@ class Items:
         rng = np.random.default_rng([self.seed, size, repeat])
         places = np.sort(rng.choice(2 * size, min(_SAMPLED, 2 * size), replace=False)).tolist()
         # Past its end a window goes on with zeros. The bits of 64 steps of a word are one number.
-        symbols = np.concatenate((windows, np.zeros((len(windows), 1), windows.dtype)), 1).astype(np.uint64)
-        rows, at = np.arange(len(windows)), np.zeros(len(windows), np.int64)
+        symbols = np.concatenate((windows, np.zeros((len(windows), 1), windows.dtype)), 1).astype(np.uint64).ravel()
+        at = np.arange(len(windows)) * (size + 1)
+        last = at + size
         key = np.zeros(len(windows), np.uint64)
         for step in range(places[-1] + 1):
             if step % 64 == 0:
-                bits = mix(symbols + rng.integers(0, 2**63, dtype=np.uint64))
+                bits = mix(symbols + rng.integers(0, 2**63, dtype=np.uint64)).view(np.int64)
             if step in places:
-                key = mix(key ^ mix(symbols[rows, at] + np.uint64(step + 1)))
-            at = np.minimum(at + ((bits[rows, at] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64), size)
+                key = mix(key ^ mix(symbols.take(at) + np.uint64(step + 1)))
+            at += (bits.take(at) >> (step % 64)) & 1
+            np.minimum(at, last, out=at)
         return key
 
     def edited(self, size: int, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -184,6 +189,10 @@ class Items:
                 return max(LEAST_REPEATS, repeat + 1)
         return 0
 
+    def walked(self, size: int, repeats: int) -> np.ndarray:
+        rows = np.stack([self.symbols[i] for i in self.sizes[size]])
+        return np.array([self.keys(rows, r) for r in range(repeats)], np.uint64).reshape(repeats, len(rows))
+
     def finder(self, every_place: bool = False) -> Callable[[list[str]], list[tuple[int, int, int, int, int]]]:
         """A function of texts to ``(text number, item number, first word, words, edits)``: the best
         place of each item in each text, fewest edits first, then leftmost, then shortest; or with
@@ -192,17 +201,16 @@ class Items:
         number = self.vocabulary.get
         tables = {}
         for size, members in self.sizes.items():
-            rows = np.stack([self.symbols[i] for i in members])
+            order = np.argsort(self.walks[size], axis=1, kind="stable")
+            sorted_ = np.take_along_axis(self.walks[size], order, 1)
             for repeat in range(self.repeats[size]):
-                keys = self.keys(rows, repeat)
-                order = np.argsort(keys, kind="stable")
-                tables[size, repeat] = keys[order], np.array(members)[order]
+                tables[size, repeat] = sorted_[repeat], np.array(members)[order[repeat]]
         longest = max(self.sizes, default=0)
 
         def find(batch: list[str]) -> list[tuple[int, int, int, int, int]]:
             symbols, starts = [], [0]
             for t in batch:
-                own = [number(w, 0) for w in words(t)]
+                own = list(map(number, words(t), repeat_(0)))
                 symbols.append(np.array(own, np.int64))
                 symbols.append(np.zeros(margin, np.int64))
                 starts.append(starts[-1] + len(own) + margin)
@@ -244,14 +252,20 @@ class Items:
                             candidates.setdefault(item, []).append(some)
                         continue
                     windows = flat[some[:, None] + np.arange(size)]
+                    # Copies of a passage are walked once.
+                    _, first, which = np.unique(
+                        windows.view(f"V{8 * size}")[:, 0], return_index=True, return_inverse=True
+                    )
+                    windows, met = windows[first], set()
                     for repeat in range(self.repeats[size]):
                         keys = self.keys(windows, repeat)
                         table, members = tables[size, repeat]
                         lo = np.searchsorted(table, keys, side="left")
                         hi = np.searchsorted(table, keys, side="right")
-                        for k in np.flatnonzero(hi > lo):
-                            for item in set(members[lo[k] : hi[k]].tolist()):
-                                candidates.setdefault(item, []).append(some[k : k + 1])
+                        for k in np.flatnonzero(hi > lo).tolist():
+                            met.update((item, k) for item in members[lo[k] : hi[k]].tolist())
+                    for item, k in met:
+                        candidates.setdefault(item, []).append(some[which == k])
             verified: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
             for item, places in candidates.items():
                 symbol = self.symbols[item]
@@ -289,18 +303,21 @@ def item_blocks(benchmark: DataFrame, max_edit: float, target_recall: float, see
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block)
         items = Items.of(sorted(map(tuple, part.collect()), key=str), max_edit, seed)
         if items.names:
-            items.repeats = _measured(benchmark.sparkSession, items, target_recall)
+            _measured(benchmark.sparkSession, items, target_recall)
             yield items
 
 
-def _measured(spark: SparkSession, items: Items, target_recall: float) -> dict[int, int]:
-    """The repeats of each size, measured in tasks; a row for each size comes back."""
+def _measured(spark: SparkSession, items: Items, target_recall: float) -> None:
+    """Measure the repeats of each size and walk its items, in tasks, once for all searches. A row for
+    each size comes back, 8 bytes for each item and repeat of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("size").to_pylist()
             repeats = [items.repeats_for(s, target_recall) for s in sizes]
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(repeats, pa.int64())], ["size", "repeats"])
+            walks = [items.walked(s, r).tobytes() for s, r in zip(sizes, repeats)]
+            columns = [pa.array(sizes, pa.int64()), pa.array(repeats, pa.int64()), pa.array(walks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["size", "repeats", "walks"])
 
     # One after the other, so that long sizes are spread over the tasks.
     order = sorted(items.sizes)
@@ -308,8 +325,9 @@ def _measured(spark: SparkSession, items: Items, target_recall: float) -> dict[i
     numbers = spark.range(0, tasks, 1, tasks).select(
         F.explode(F.array(*(F.array(*map(F.lit, order[t::tasks])) for t in range(tasks)))[F.col("id").cast("int")]).alias("size")
     )
-    rows = numbers.select(F.col("size").cast("long")).mapInArrow(run, "size long, repeats long").collect()
-    return {r["size"]: r["repeats"] for r in rows}
+    for size, repeats, walks in numbers.select(F.col("size").cast("long")).mapInArrow(run, "size long, repeats long, walks binary").collect():
+        items.repeats[size] = repeats
+        items.walks[size] = np.frombuffer(walks, np.uint64).reshape(repeats, len(items.sizes[size]))
 
 
 _HITS = "doc_id long, item_id long, first_word long, n_words long, edits long"
