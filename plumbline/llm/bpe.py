@@ -130,8 +130,10 @@ class WordBpe:
 
     def _words(self, text: str) -> list[str]:
         """The words of a text without special tokens, as the file's own steps cut them."""
-        if text.isascii() or not _FURTHER.search(text):
-            return self.words_at.findall(text.lower())
+        # Some letters below U+0250 have their lower case beyond.
+        lower = text.lower()
+        if text.isascii() or not (_FURTHER.search(text) or _FURTHER.search(lower)):
+            return self.words_at.findall(lower)
         if self._slow is None:
             from tokenizers import Tokenizer
 

@@ -543,6 +543,25 @@ def test_bpe_equals_the_library(spark, awkward):
         assert r.decoded_sha256 == _sha(library.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.WordBpe(open(path).read())
+    rng = np.random.default_rng(11)
+    capitals = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
+    texts = []
+    for n in range(20_000):
+        top = (0x80, 0x250, 0x600, 0x10000)[n % 4]
+        codes = rng.integers(0, top, rng.integers(1, 12))
+        parts = [chr(c) for c in codes.tolist() if not 0xD800 <= c < 0xE000]
+        parts += [str(x) for x in rng.choice([*capitals, "<|endoftext|>", "<|startoftext|>", " ", "'s", "li"], rng.integers(0, 3))]
+        rng.shuffle(parts)
+        texts.append("".join(parts))
+    for text, mine, theirs in zip(texts, own.encode_batch(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert mine.tolist() == theirs.ids, text
+
+
 def test_bpe_cache_can_be_emptied(monkeypatch):
     own = bpe.WordBpe(open(public_tokenizers.path("word_bpe_49k.json")).read())
     before = [x.tolist() for x in own.encode_batch(["some words here", "other words there"])]
