@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import shard_suffix
@@ -41,6 +41,14 @@ class TimeWindow:
         object.__setattr__(self, "start", _day(self.start))
         object.__setattr__(self, "end", _day(self.end))
 
+    @classmethod
+    def spanning(cls, rows: DataFrame, column: str | Column) -> TimeWindow:
+        """From the first to the last day of ``column`` (a date or time) in ``rows``; one row comes to
+        the driver. Rows without a day are in no window, and a table without days has an empty one."""
+        day = (F.col(column) if isinstance(column, str) else column).cast("date")
+        first, last = rows.agg(F.min(day), F.max(day)).first()
+        return cls(start=first or dt.date(1970, 1, 1), end=last or dt.date(1970, 1, 1))
+
     def target(self, table: Table) -> str:
         column = self.column or table.anchor or table.time_column
         if not column:

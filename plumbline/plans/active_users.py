@@ -104,26 +104,10 @@ def user_stretches(segments: DataFrame, last_day: Column, unit: str = "month") -
     )
 
 
-def at_month_ends(stretches: DataFrame, last_day: Column) -> DataFrame:
-    """The stretches cut down to the last day of each month, or ``last_day`` in the last one.
-
-    What is read off at month ends needs a thirtieth of the days unfolded.
-    """
-    months = F.sequence(F.trunc("start_day", "month"), F.col("end_day"), F.expr("interval 1 month"))
-    kept = [c for c in stretches.columns if c not in ("start_day", "end_day")]
-    day = F.least(F.last_day("_month"), last_day)
-    return (
-        stretches.withColumn("_month", F.explode(months))
-        .withColumn("_day", day)
-        .where(F.col("_day").between(F.col("start_day"), F.col("end_day")))
-        .select(*kept, F.col("_day").alias("start_day"), F.col("_day").alias("end_day"))
-    )
-
-
 def at_cohort_month_ends(stretches: DataFrame, last_day: Column) -> DataFrame:
     """The stretches cut down to each cohort's latest snapshot in each month: its last day with an
     open user. That is the month's end, or ``last_day``, unless the cohort's last account closes
-    before it. As few days are unfolded as by :func:`at_month_ends`.
+    before it. What is read off at month ends needs a thirtieth of the days unfolded.
 
     All stretches of the cohort that hold the day are kept, closed ones too, as their activity
     counts. So a cube of these is whole for cohorts only; its other cells lack the cohorts whose

@@ -362,10 +362,9 @@ def active_user_cube_monthly(spark, sf):
 
 _RETENTION = """
 SELECT signup_cohort, CAST(date_diff('month', CAST(signup_cohort AS DATE), snapshot_date) AS INTEGER)
-         AS months_since_signup, active_users_7d_rate AS rate, open_users
-FROM active_user_cube
-WHERE signup_cohort <> 'ALL' AND (snapshot_date = last_day(snapshot_date)
-      OR snapshot_date = (SELECT d FROM last_day))
+         AS months_since_signup,
+       arg_max(active_users_7d_rate, snapshot_date) AS rate, arg_max(open_users, snapshot_date) AS open_users
+FROM active_user_cube WHERE signup_cohort <> 'ALL' GROUP BY 1, 2
 """
 
 

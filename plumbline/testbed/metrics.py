@@ -14,7 +14,7 @@ from plumbline.plans.library import ACCOUNTS, BIKES, REGISTRY, TAXI, TRENDS, WEB
 from plumbline.testbed import oracle, views
 from plumbline.testbed.catalog import register, rounded
 
-#: What a query on an anchored table asks for unless it says otherwise; the SQL has it too.
+#: A narrow window, for the guard.
 WINDOW = TimeWindow(start="1995-03-01", end="1999-10-31")
 
 _VIEWS = {
@@ -30,19 +30,28 @@ _CTES = {
     BIKES.name: oracle.BIKES,
     TAXI.name: oracle.TAXI,
 }
-_WINDOWED = {WEB.name: oracle.WEB_WINDOW, TRENDS.name: oracle.TRENDS_WINDOW, TAXI.name: oracle.TAXI_WINDOW}
+#: What the anchors of the views are taken from.
+_ANCHORS = {
+    WEB.name: ("orders", "o_orderdate"),
+    TRENDS.name: ("lineitem", "trunc(l_shipdate, 'month')"),
+    TAXI.name: ("lineitem", "l_shipdate"),
+}
+
+
+def whole(spark, sf, dataset: Dataset) -> TimeWindow:
+    """The window that an anchored view spans, which a request must name."""
+    name, day = _ANCHORS[dataset.name]
+    return TimeWindow.spanning(views.table(spark, sf, name), F.expr(day))
 
 
 def _metric(name, dataset: Dataset, metric, sql, digits=None, **request):
-    table = dataset.table(dataset.metric(metric).table)
-    views_sql = _CTES[dataset.name]
-    if table.anchor and "window" not in request:
-        request["window"], views_sql = WINDOW, _WINDOWED[dataset.name]
+    anchored = dataset.table(dataset.metric(metric).table).anchor
 
-    @register(name, f"WITH {views_sql} {sql}")
+    @register(name, f"WITH {_CTES[dataset.name]} {sql}")
     def build(spark, sf):
         tables = _VIEWS[dataset.name](spark, sf)
-        df = metric_query(tables, dataset, metric, **request)
+        window = request.get("window") or (whole(spark, sf, dataset) if anchored else None)
+        df = metric_query(tables, dataset, metric, **{**request, "window": window})
         return df if digits is None else rounded(df, digits, metric)
 
 
@@ -276,13 +285,13 @@ _CLEAN = Dataset(
 
 @register(
     "hygiene_filter",
-    f"WITH {oracle.TAXI_WINDOW} SELECT payment_type, round(avg(trip_distance), 6) AS avg_trip_distance"
+    f"WITH {oracle.TAXI} SELECT payment_type, round(avg(trip_distance), 6) AS avg_trip_distance"
     " FROM yellow_trips WHERE fare_amount > 0 AND passenger_count < 7"
     " AND (trip_distance > 30 OR passenger_count > 3) GROUP BY 1",
 )
 def hygiene_filter(spark, sf):
     df = metric_query(views.taxi(spark, sf), _CLEAN, "avg_trip_distance", ["payment_type"],
-                      ["long_or_shared"], WINDOW)
+                      ["long_or_shared"], whole(spark, sf, TAXI))
     return rounded(df, 6, "avg_trip_distance")
 
 
@@ -304,13 +313,13 @@ def full_scan_guard(spark, sf):
 
 @register(
     "spec_reference_check",
-    f"WITH {oracle.TAXI_WINDOW} SELECT count(*) AS trips FROM yellow_trips",
+    f"WITH {oracle.TAXI} SELECT count(*) AS trips FROM yellow_trips",
 )
 def spec_reference_check(spark, sf):
     """Every metric of every dataset resolves against its table before one of them runs."""
     for dataset in REGISTRY.datasets:
         check_against(dataset, _VIEWS[dataset.name](spark, sf))
-    return metric_query(views.taxi(spark, sf), TAXI, "trips", window=WINDOW)
+    return metric_query(views.taxi(spark, sf), TAXI, "trips", window=whole(spark, sf, TAXI))
 
 
 @register(

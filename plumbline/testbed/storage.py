@@ -30,7 +30,7 @@ from plumbline.streaming import append_closed_days, daily_activity
 from plumbline.testbed import oracle, views
 from plumbline.testbed.accounts import EDGES, _datelist, _dense, sources
 from plumbline.testbed.catalog import register, rounded
-from plumbline.testbed.metrics import WINDOW
+from plumbline.testbed.metrics import whole
 from plumbline.testbed.quality import GRADES_SQL, grade
 from plumbline.testbed.views import table
 
@@ -145,22 +145,23 @@ def scan_drifting_shards(spark, sf):
 
 @register(
     "freeze_extract",
-    f"WITH {oracle.TAXI_WINDOW} SELECT pickup_location_id, rate_code, round(avg(fare_amount), 4)"
+    f"WITH {oracle.TAXI} SELECT pickup_location_id, rate_code, round(avg(fare_amount), 4)"
     " AS avg_fare FROM yellow_trips WHERE fare_amount > 0 AND trip_distance > 0 GROUP BY 1, 2",
 )
 def freeze_extract(spark, sf):
     """The second request is served from the extract: its build would raise."""
+    window = whole(spark, sf, TAXI)
     request = {
         "metric": "avg_fare",
         "dimensions": ["pickup_location_id", "rate_code"],
         "segments": ["valid_trip"],
-        "window": [WINDOW.start, WINDOW.end],
+        "window": [window.start, window.end],
         "source": sf,
     }
 
     def build():
         df = metric_query(views.taxi(spark, sf), TAXI, "avg_fare", request["dimensions"],
-                          request["segments"], WINDOW)
+                          request["segments"], window)
         return rounded(df, 4, "avg_fare")
 
     def unexpected():
