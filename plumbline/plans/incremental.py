@@ -6,10 +6,10 @@ A day needs the previous day's partition and two more: activity leaves the
     l7(D) = l7(D-1) + l1(D) - l1(D-7)      l28(D) = l28(D-1) + l1(D) - l1(D-28)
 
 Three partitions are read instead of 28 and one is written, in place, so a run
-can be repeated. Events must arrive on their day: one that comes late for a day
-already built needs that day, and those after it, built again in order. Building
-a day leaves later ones as they are, so until they are built again they still
-stand for the old state of that day.
+can be repeated. Events must arrive on their day; those that come late for a day
+already built are taken in by ``late.repair``, which builds the touched accounts
+again from their first touched day on. Building a day leaves later ones as they
+are, so until they are built again they still stand for the old state of that day.
 
 A day is not built on a gap: without the partition of the day before, accounts
 would be lost, and without those of 7 and 28 days before, activity would never
@@ -22,9 +22,12 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions import age_bucket, calendar_day
+from plumbline.operators.timeline import place_by
+from plumbline.plans import active_users
 from plumbline.plans.lifecycle import (
     DATELIST_COLUMNS,
     DEFAULT_EDGES,
@@ -33,6 +36,7 @@ from plumbline.plans.lifecycle import (
     _event_rank,
     _opens,
 )
+from plumbline.sources.storage import write_manifest
 
 
 def next_day(
@@ -172,3 +176,44 @@ def build_day(
         .partitionBy("snapshot_date")
         .parquet(path)
     )
+    write_manifest(spark, path)
+
+
+def day_stretches(history: DataFrame, unit: str = "month") -> DataFrame:
+    """The stored days of ``history`` as stretches of one day, for ``active_users.active_user_cube``.
+
+    A day's partition has every account there is, so it says all about its users: their open accounts,
+    their activity and the period of the first of their accounts.
+    """
+    group = ("user_id", "account_type", "account_age_bucket", F.col("snapshot_date").cast("date").alias("start_day"))
+    flag = {f: F.max((F.col(c) > 0).cast("int")).alias(f) for f, c in zip(active_users.FLAGS, ("l1", "l7", "l28"))}
+    by_group = history.groupBy(*group).agg(
+        F.max("is_open").alias("is_open"), F.min("created_date").alias("_created"), *flag.values()
+    )
+    placed = place_by(by_group, "user_id")
+    first = F.min("_created").over(W.partitionBy("user_id", "start_day"))
+    return placed.withColumns({"signup_cohort": F.trunc(first, unit), "end_day": F.col("start_day")}).drop("_created")
+
+
+def build_cube_days(
+    spark: SparkSession, path: str, cube_path: str, days: Sequence[dt.date], unit: str = "month",
+    account_types: Sequence[str] | None = None,
+) -> None:
+    """Write the cube of ``days`` from the history's partitions of these days, replacing only theirs.
+
+    Distinct users cannot be carried from one day's counts to the next without each user's state of
+    both. The state of a day is in its partition, so one partition is read for each day and its
+    accounts are shuffled once, where taking yesterday's states out and putting today's in would read
+    and shuffle two.
+    """
+    history = spark.read.parquet(path).where(F.col("snapshot_date").cast("date").isin(*days))
+    cube = active_users.active_user_cube(day_stretches(history, unit), account_types)
+    (
+        cube.hint("rebalance", "snapshot_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
+        .partitionBy("snapshot_date")
+        .parquet(cube_path)
+    )
+    write_manifest(spark, cube_path)

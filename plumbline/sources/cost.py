@@ -17,7 +17,7 @@ HARD_GIB = float(os.environ.get("PLUMBLINE_HARD_GIB", "5.0"))
 
 
 class ScanTooLarge(RuntimeError):
-    """A query that would read more than the hard cap. It was not run."""
+    """A query that would read more than the hard cap and was not run, or that did and was cancelled."""
 
 
 def scan_estimate(
@@ -66,8 +66,8 @@ def capped_run(
 ) -> DataFrame:
     """The query, unless its estimate is over the hard cap.
 
-    The estimate is the one row that comes to the driver. Spark has no cap that
-    holds while a job runs: this is a check before it.
+    The estimate is the one row that comes to the driver. This is a check before the query;
+    ``metering.metered_run`` also holds a cap while it runs.
     """
     row = estimate.withColumn("size", human_bytes("bytes")).first()
     text = f"the scan reads {row['size']} (~${row.est_usd:.4f})"

@@ -40,6 +40,38 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """Folders directly below ``folder`` whose write was committed, in the order of their names."""
+    at, system = _file_system(spark, folder)
+    if not system.exists(at):
+        return []
+    below = sorted(str(s.getPath().toString()) for s in system.listStatus(at) if s.isDirectory())
+    return [path for path in below if is_complete(spark, path)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library wrote."""
+    at, system = _file_system(spark, path)
+    system.delete(at, True)
+
+
+def enter(entry: DataFrame, folder: str) -> None:
+    """Add rows to a small table of entries. Each entry is a folder of its own: writers that append to
+    one folder at a time would share its staging area, and the first commit would empty it."""
+    entry.coalesce(1).write.option("compression", "zstd").parquet(f"{folder}/entry={uuid.uuid4().hex}")
+
+
+def entries(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All committed entries; none if there are none."""
+    paths = committed(spark, folder)
+    return spark.read.parquet(*paths) if paths else None
+
+
 def request_key(request: Mapping[str, Any]) -> str:
     """A name for a request that changes with any part of it."""
     text = json.dumps(request, sort_keys=True, default=str)
@@ -57,22 +89,31 @@ def freeze(
     current one; of two that build at once both are kept, and the first one entered is read.
     """
     extract = f"{base}/extract-{request_key(request)}"
-    if not is_complete(spark, f"{extract}/_current"):
+    if entries(spark, f"{extract}/_current") is None:
         run = f"{extract}/run-{uuid.uuid4().hex}"
         build().write.option("compression", "zstd").parquet(run)
+        write_manifest(spark, run)
         pointer = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("built_at"))
-        pointer.write.mode("append").parquet(f"{extract}/_current")
-    runs = spark.read.parquet(f"{extract}/_current")
-    return spark.read.parquet(runs.agg(F.min_by("run", "built_at").alias("run")).first().run)
+        enter(pointer, f"{extract}/_current")
+    first = F.min_by("run", F.struct("built_at", "run")).alias("run")
+    return spark.read.parquet(entries(spark, f"{extract}/_current").agg(first).first().run)
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    from plumbline.sources import manifest
+
+    manifest.write_manifest(spark, path)
 
 
 def publish(model: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Write a model. Partitions are rebalanced so that each becomes few, evenly sized files."""
+    """Write a model and its manifest. Partitions are rebalanced so that each becomes few, evenly sized
+    files."""
     rows = model if partition_by is None else model.hint("rebalance", partition_by)
     writer = rows.write.mode("overwrite").option("compression", "zstd")
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    write_manifest(model.sparkSession, path)
 
 
 def publish_gated(
@@ -102,24 +143,27 @@ def publish_gated(
         F.lit(run).alias("run"),
         F.current_timestamp().alias("published_at"),
     )
-    pointers.write.mode("append").parquet(f"{path}/_published")
+    enter(pointers, f"{path}/_published")
     return report
 
 
 def published(spark: SparkSession, path: str, model: str) -> DataFrame:
     """The model as of the last run that passed its checks."""
-    runs = spark.read.parquet(f"{path}/_published").where(F.col("model") == model)
-    newest = runs.agg(F.max_by("run", "published_at").alias("run")).first()
-    if newest.run is None:
+    runs = entries(spark, f"{path}/_published")
+    newest = None
+    if runs is not None:
+        latest = F.max_by("run", F.struct("published_at", "run")).alias("run")
+        newest = runs.where(F.col("model") == model).agg(latest).first()
+    if newest is None or newest.run is None:
         raise FileNotFoundError(f"no run of {model!r} was published under {path}")
     return spark.read.parquet(f"{newest.run}/{model}")
 
 
 def append_telemetry(results: DataFrame, path: str, **run: Any) -> None:
     """Append one row per case, tagged with what the caller knows about the run
-    (``run_ts``, ``version``, ``git_sha``, ``wall_ms``)."""
-    tagged = results.withColumns({name: F.lit(value) for name, value in run.items()})
-    tagged.write.mode("append").option("compression", "zstd").parquet(path)
+    (``run_ts``, ``version``, ``git_sha``, ``wall_ms``). Runs may append at the same time; read them with
+    :func:`entries`."""
+    enter(results.withColumns({name: F.lit(value) for name, value in run.items()}), path)
 
 
 def pass_rates(telemetry: DataFrame) -> DataFrame:
