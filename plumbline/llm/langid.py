@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from .frames import checkpoint, slices, texts
 
 MAX_ROWS, BUCKETS, TEXT_WEIGHT, STRENGTH = 4_000, 1 << 15, 60, 5.0
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_OPENS = re.compile(r"<(?:(script|style)\b|!--)", re.I)
+_CLOSES = {
+    "script": re.compile(r"</script\s*+>", re.I), "style": re.compile(r"</style\s*+>", re.I), "": re.compile("-->"),
+}
 _HTML = re.compile(r"<html\b([^>]*)", re.I)
 _DECLARED = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
@@ -48,7 +51,29 @@ def declared_in(page: str) -> str | None:
 
 
 def plain(page: str) -> str:
-    return html.unescape(_HIDDEN.sub(" ", page))
+    """The text of a page: scripts, styles, comments and tags are one space each.
+
+    One without its end is a plain tag up to the next ``>``. The next end of each kind is looked for
+    once and remembered, so a page of many beginnings costs one pass.
+    """
+    out, at = [], 0
+    ends: dict[str, tuple[int, int]] = {}
+    while (start := page.find("<", at)) >= 0:
+        stop = -1
+        opened = _OPENS.match(page, start)
+        if opened:
+            kind = (opened[1] or "").lower()
+            if kind not in ends or ends[kind][0] < opened.end():
+                closed = _CLOSES[kind].search(page, opened.end())
+                ends[kind] = closed.span() if closed else (len(page), -1)
+            stop = ends[kind][1]
+        if stop < 0:
+            stop = page.find(">", start) + 1
+            if not stop:
+                break
+        out += page[at:start], " "
+        at = stop
+    return html.unescape("".join([*out, page[at:]]))
 
 
 def trigrams(text: str) -> np.ndarray:
