@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import dom, extract, lexical, queries, spelling
+from plumbline.llm import dom, extract, langid, lexical, queries, secrets, spelling
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -342,3 +342,42 @@ def test_pages_are_read_in_linear_time(source):
 ])
 def test_blocks_of_markup(source, texts):
     assert [t for t in dom.parse(source).text if t] == texts
+
+
+# --- hostile texts of earlier operators
+
+
+def test_plain_text_of_pages_equals_the_expression():
+    hidden = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+    rng = random.Random(12)
+    parts = ["<script>", "</script>", "</SCRIPT  >", "<style a>", "</style>", "<!--", "-->", "<", ">", "x", " y ", "<p>", "<scripts>", "\n"]
+    for _ in range(5_000):
+        page = "".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert langid.plain(page) == hidden.sub(" ", page), page
+
+
+@pytest.mark.parametrize("part", ["<script>", "<!--", "<style ", "<", "<script></script", "</script   "])
+def test_plain_text_takes_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    began = time.time()
+    langid.plain(page)
+    assert time.time() - began < 1
+
+
+def test_logins_in_addresses_are_those_of_the_plain_expression():
+    rule = next(r for r in secrets.RULES if r.kind == "url_login")
+    rng = random.Random(13)
+    for _ in range(5_000):
+        text = "".join(rng.choices(["ab", "c", "://", ":", "@", "/", " ", "A", "user", "9"], k=rng.randint(0, 16)))
+        wanted = [m.span() for m in re.finditer(r"[a-z]+://[^/\s:@]+:[^/\s:@]+@", text)]
+        assert [m.span() for m in re.finditer(rule.pattern, text)] == wanted, text
+
+
+@pytest.mark.parametrize("part", ["a", "eyJ", "eyJa.", "ab://", "a:b@", "://a:", "xox", "ghp_", "token = ", "-----BEGIN ", "0", "AKIA"])
+def test_secrets_take_linear_time(part):
+    text = part * (1_000_000 // len(part)) + " http://u:p@host AKIA password"
+    began = time.time()
+    for rule in secrets.RULES:
+        for _ in re.finditer(rule.pattern, text):
+            pass
+    assert time.time() - began < 1
