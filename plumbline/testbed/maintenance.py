@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from plumbline.operators import check_state
 from plumbline.operators.keys import minimal_keys
 from plumbline.operators.sketches import LG_K, daily_sketches, rolling_distinct, standard_error
 from plumbline.plans import incremental, late, lifecycle
@@ -191,6 +192,40 @@ def agg_distinct_sketch(spark, sf):
     return out
 
 
+_CHECKS = {"large": ("l_quantity > 40", "l_quantity > 40"), "untaxed": ("l_tax = 0", "l_tax = 0"),
+           "late_half": ("month(l_shipdate) > 6", "month(l_shipdate) > 6")}
+
+_BY_PARTITION = " UNION ALL ".join(
+    [f"SELECT year, '{c}' AS \"check\", count(*) FILTER (WHERE {sql}) AS failures, count(*) AS rows FROM items GROUP BY year"
+     for c, (_, sql) in _CHECKS.items()]
+    + ["SELECT year, 'grain', count(*) FILTER (WHERE n > 1), sum(n) FROM"
+       " (SELECT year, l_orderkey, l_suppkey, count(*) AS n FROM items GROUP BY ALL) GROUP BY year"]
+)
+
+
+@register(
+    "dq_partition_state",
+    f"""
+WITH items AS (SELECT *, CAST(year(l_shipdate) AS VARCHAR) AS year FROM lineitem), counted AS ({_BY_PARTITION})
+SELECT "check", CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS partitions,
+       CASE WHEN sum(failures) > 0 THEN arg_min(year, (-failures, year)) END AS worst_partition
+FROM counted GROUP BY 1
+""",
+)
+def dq_partition_state(spark, sf):
+    """Counters of all years but the last entered first, then those of the last, then one year again."""
+    items = table(spark, sf, "lineitem").withColumn("year", F.date_format("l_shipdate", "yyyy"))
+    path = views.stored(spark, sf, "lineitem-by-year", lambda p: write_shards(items, p, "year"))
+    rows = spark.read.schema(items.schema).parquet(path)
+    last = rows.agg(F.max("year")).first()[0]
+    folder = f"{shared_folder(spark, 'checks')}/lineitem"
+    for part in (F.col("year") < last, F.col("year") == last, F.col("year") == "1995"):
+        failing = {check: predicate for check, (predicate, _) in _CHECKS.items()}
+        counters = check_state.partition_counters(rows.where(part), "year", ["l_orderkey", "l_suppkey"], failing)
+        check_state.record(counters, folder)
+    return check_state.merged(spark, folder)
+
+
 _KEYED = {
     "lineitem": (
         "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag "

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_accounts import EDGES, TYPES, as_sources, random_inputs, rows_of, simulate, simulate_cube
 
-from plumbline.operators import keys, sketches
+from plumbline.operators import check_state, keys, sketches
 from plumbline.plans import incremental, late, lifecycle
 from plumbline.sources import manifest, metering
 from plumbline.sources.cost import ScanTooLarge, scan_estimate
@@ -320,3 +320,57 @@ def test_keys_of_hardly_any_rows(spark):
     assert keys.minimal_keys(table) == [()] == keys.minimal_keys(table.limit(0))
     assert keys.minimal_keys(table.union(table)) == []
     assert keys.minimal_keys(table.union(spark.createDataFrame([(2, None)], "a int, b int"))) == [("a",)]
+
+
+# ---- check state by partition
+
+FAILING = {"no_state": "state IS NULL", "range": "n NOT BETWEEN 1 AND 5"}
+
+
+def _full_report(rows):
+    seen = defaultdict(int)
+    for day, account, _, _ in rows:
+        seen[day, account] += 1
+    failing = {"grain": [d for (d, _), c in seen.items() if c > 1], "no_state": [r[0] for r in rows if r[2] is None],
+               "range": [r[0] for r in rows if r[3] is not None and not 1 <= r[3] <= 5]}
+    days = {r[0] for r in rows}
+    return {c: (len(f), len(rows), len(days), max(sorted(set(f)), key=f.count) if f else None) for c, f in failing.items()}
+
+
+def test_merged_counters_equal_the_full_report(spark, plan):
+    rng = random.Random(9)
+
+    def day_rows(day):
+        return [(day, rng.randrange(40), rng.choice([None, "o", "c", "c"]), rng.choice([None, *range(8)])) for _ in range(50)]
+
+    stored = {f"2024-01-{d:02d}": day_rows(f"2024-01-{d:02d}") for d in range(1, 6)}
+    path, state = shared_folder(spark, "checked"), shared_folder(spark, "check-state")
+    schema = "day string, account long, state string, n long"
+
+    def write(days):
+        rows = spark.createDataFrame([r for d in days for r in stored[d]], schema)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    def check(days):
+        rows = spark.read.schema("account long, state string, n long, day string").parquet(path).where(F.col("day").isin(*days))
+        counters = check_state.partition_counters(rows, "day", ["account"], FAILING)
+        check_state.record(counters, state)
+        assert "PartitionFilters: [day" in plan(counters) or "PartitionFilters: [isnotnull(day" in plan(counters)
+
+    def report():
+        return {r.check: (r.failures, r.rows, r.partitions, r.worst_partition) for r in check_state.merged(spark, state).collect()}
+
+    with pytest.raises(FileNotFoundError):
+        check_state.merged(spark, state)
+    write(list(stored)[:4])
+    check(list(stored)[:4])
+    write(list(stored)[4:])
+    check(list(stored)[4:])
+    assert report() == _full_report([r for rows in stored.values() for r in rows])
+    # A day is replaced: only it is checked again, with violations seeded in it.
+    stored["2024-01-02"] = [("2024-01-02", 7, None, 99)] * 3
+    write(["2024-01-02"])
+    check(["2024-01-02"])
+    assert report() == _full_report([r for rows in stored.values() for r in rows])
+    with pytest.raises(ValueError):
+        check_state.partition_counters(spark.range(1), "id", ["id"], {"grain": "true"})
