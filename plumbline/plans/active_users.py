@@ -104,28 +104,6 @@ def user_stretches(segments: DataFrame, last_day: Column, unit: str = "month") -
     )
 
 
-def at_cohort_month_ends(stretches: DataFrame, last_day: Column) -> DataFrame:
-    """The stretches cut down to each cohort's latest snapshot in each month: its last day with an
-    open user. That is the month's end, or ``last_day``, unless the cohort's last account closes
-    before it. What is read off at month ends needs a thirtieth of the days unfolded.
-
-    All stretches of the cohort that hold the day are kept, closed ones too, as their activity
-    counts. So a cube of these is whole for cohorts only; its other cells lack the cohorts whose
-    latest snapshot is another day.
-    """
-    months = F.sequence(F.trunc("start_day", "month"), F.col("end_day"), F.expr("interval 1 month"))
-    by_month = stretches.withColumn("_month", F.explode(months))
-    latest = F.least(F.last_day("_month"), F.col("end_day"), last_day)
-    # One row per cohort and month: small, whatever the number of users.
-    days = by_month.where("is_open").groupBy("signup_cohort", "_month").agg(F.max(latest).alias("_day"))
-    kept = [c for c in stretches.columns if c not in ("start_day", "end_day")]
-    return (
-        by_month.join(days, ["signup_cohort", "_month"])
-        .where(F.col("_day").between(F.col("start_day"), F.col("end_day")))
-        .select(*kept, F.col("_day").alias("start_day"), F.col("_day").alias("end_day"))
-    )
-
-
 def user_days(stretches: DataFrame) -> DataFrame:
     """One row per user, type, age bucket and day; partitioned by user."""
     return segments_to_days(stretches, "start_day", "end_day", "snapshot_date")
@@ -161,6 +139,9 @@ def user_daily_bridge(days: DataFrame) -> DataFrame:
 # The cells of the cube, by grouping set: all, cohort, type, age bucket, type by age bucket.
 ALL_SET, COHORT_SET, TYPE_SET, BUCKET_SET, BOTH_SET = range(5)
 
+PAIRS = "array<struct<account_type: string, account_age_bucket: string>>"
+
+
 def active_user_cube(
     stretches: DataFrame,
     account_types: Sequence[str] | None = None,
@@ -170,9 +151,11 @@ def active_user_cube(
 
     A user counts once per cell. What a user contributes on a day depends only on
     the user's *state*: the open (type, bucket) pairs, the activity flags, the
-    cohort. States are formed in the task that holds the user, users are counted
-    per state, and only the counted states are spread over the cells: the
-    distinct counts become sums and the shuffles carry states, not users.
+    cohort. A user is looked at on the days its state changes and on no other: the
+    old state loses the user and the new one gains it, both are summed per
+    state, and only then spread over the cells. Running sums over the calendar bring
+    the counts back, and the days between two changes of a cell are unfolded last.
+    So the cost follows changes, and the shuffles carry states, not users.
 
     With ``account_types`` given, any number of them, a type outside them is an
     error, as it is for the quality gate; without them any type is taken.
@@ -182,48 +165,122 @@ def active_user_cube(
         known = F.coalesce(F.col("account_type").isin(*account_types), F.lit(False))
         checked = F.when(known, F.col("account_type")).otherwise(F.raise_error(message))
         stretches = stretches.withColumn("account_type", checked)
-    counts = _cells(stretches).groupBy(
-        "snapshot_date",
-        "grouping_set",
-        "account_type",
-        "account_age_bucket",
-        F.when(F.col("grouping_set") == COHORT_SET, F.col("cohort").cast("string"))
-        .otherwise(ROLLED_UP)
-        .alias("signup_cohort"),
-    ).agg(
-        F.sum("users").alias("open_users"),
-        *(F.sum(F.col(f) * F.col("users")).alias(f"{_users(f)}_count") for f in FLAGS),
+    cell = ("grouping_set", "account_type", "account_age_bucket", "signup_cohort")
+    numbers = ("users", *FLAGS)
+    moved = (
+        _cells(state_changes(stretches))
+        .withColumn(
+            "signup_cohort",
+            F.when(F.col("grouping_set") == COHORT_SET, F.col("cohort").cast("string")).otherwise(ROLLED_UP),
+        )
+        .groupBy(*cell, "day")
+        .agg(F.sum("users").alias("users"), *(F.sum(F.col(f) * F.col("users")).alias(f) for f in FLAGS))
+        .where(" OR ".join(f"{n} <> 0" for n in numbers))
     )
+    # One row per cell and day of the calendar at most.
+    by_day = W.partitionBy(*cell).orderBy("day")
+    upto = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
+    level = moved.select(
+        *cell,
+        F.col("day").alias("start_day"),
+        F.date_sub(F.lead("day").over(by_day), 1).alias("end_day"),
+        *(F.sum(n).over(upto).alias(n) for n in numbers),
+    ).where("users > 0")
+    counts = segments_to_days(level, "start_day", "end_day", "snapshot_date")
     return counts.select(
         "snapshot_date",
         "account_type",
         "account_age_bucket",
         "signup_cohort",
-        "open_users",
-        *(f"{_users(f)}_count" for f in FLAGS),
-        *(
-            safe_divide(f"{_users(f)}_count", "open_users").alias(f"{_users(f)}_rate")
-            for f in FLAGS
-        ),
+        F.col("users").alias("open_users"),
+        *(F.col(f).alias(f"{_users(f)}_count") for f in FLAGS),
+        *(safe_divide(F.col(f), F.col("users")).alias(f"{_users(f)}_rate") for f in FLAGS),
     )
 
 
-def _cells(stretches: DataFrame) -> DataFrame:
-    """``(snapshot_date, cohort, users, flags, cell)`` with states as lists of pairs."""
-    pair = F.struct("account_type", "account_age_bucket")
-    per_user = (
-        user_days(stretches)
-        .groupBy("user_id", F.col("signup_cohort").alias("cohort"), "snapshot_date")
+def state_changes(stretches: DataFrame) -> DataFrame:
+    """``cohort, pairs, active_1d, active_7d, active_28d, day, users``: by how much the number of users
+    in a state changes on a day. ``pairs`` are the open (type, bucket) pairs; the state without any is
+    left out. After the last day of all stretches the number in each state is zero again.
+
+    Every step up to the count per state is keyed by user first and finds its rows in place where
+    the stretches are placed by user.
+    """
+    user = ("user_id", "cohort")
+    ends = F.array(
+        F.struct(F.col("start_day").alias("day"), F.lit(1).alias("sign")),
+        F.struct(F.date_add("end_day", 1).alias("day"), F.lit(-1).alias("sign")),
+    )
+    # A stretch that ends the day before the next of its group begins cancels out in all that stays.
+    moves = (
+        stretches.select(
+            "user_id", F.col("signup_cohort").alias("cohort"), "account_type", "account_age_bucket",
+            "is_open", *FLAGS, F.inline(ends),
+        )
+        .groupBy(*user, "account_type", "account_age_bucket", "day")
         .agg(
-            F.array_sort(F.collect_set(F.when(F.col("is_open"), pair))).alias("pairs"),
-            *(F.max(f).alias(f) for f in FLAGS),
+            F.sum(F.col("sign") * F.col("is_open").cast("int")).alias("opened"),
+            *(F.sum(F.col("sign") * F.col(f)).alias(f) for f in FLAGS),
         )
     )
-    states = (
-        per_user.where(F.size("pairs") > 0)
-        .groupBy("snapshot_date", "cohort", "pairs", *FLAGS)
-        .agg(F.count(F.lit(1)).alias("users"))
+
+    turn = F.struct(F.struct("account_type", "account_age_bucket").alias("pair"), "opened")
+    by_day = moves.groupBy(*user, "day").agg(
+        F.collect_list(F.when(F.col("opened") != 0, turn)).alias("turns"), *(F.sum(f).alias(f) for f in FLAGS)
     )
+    # A user's history in one row holds a day at most once, so the calendar bounds it. Openings and
+    # closings are few beside changes of activity; the open pairs after each come from a fold over them.
+    history = by_day.groupBy(*user).agg(
+        F.collect_list(F.when(F.size("turns") > 0, F.struct("day", "turns"))).alias("turned"),
+        F.collect_list(F.struct("day", *FLAGS)).alias("activity"),
+    )
+    none = F.array().cast(f"array<struct<day: date, pairs: {PAIRS}>>")
+
+    def of(turns: Column, sign: int) -> Column:
+        return F.transform(F.filter(turns, lambda t: t.opened == sign), lambda t: t.pair)
+
+    def after(done: Column, x: Column) -> Column:
+        before = F.coalesce(F.try_element_at(done, F.lit(-1)).pairs, F.array().cast(PAIRS))
+        pairs = F.array_sort(F.array_except(F.array_union(before, of(x.turns, 1)), of(x.turns, -1)))
+        return F.concat(done, F.array(F.struct(x.day.alias("day"), pairs.alias("pairs"))))
+
+    open_pairs = F.aggregate(F.array_sort("turned"), none, after)
+    rows = F.concat(
+        F.transform(
+            "activity",
+            lambda a: F.struct(a.day.alias("day"), *(a[f].alias(f) for f in FLAGS), F.lit(None).cast(PAIRS).alias("pairs")),
+        ),
+        F.transform(
+            open_pairs,
+            lambda a: F.struct(a.day.alias("day"), *(F.lit(0).cast("long").alias(f) for f in FLAGS), a.pairs.alias("pairs")),
+        ),
+    )
+    # Rows of one day are peers and get the same state, so only the first of them is a change.
+    per_user = W.partitionBy(*user).orderBy("day")
+    so_far = per_user.rangeBetween(W.unboundedPreceding, W.currentRow)
+    state = history.select(*user, F.inline(rows)).select(
+        *user, "day",
+        F.struct(
+            F.last("pairs", True).over(so_far).alias("pairs"),
+            *((F.sum(f).over(so_far) > 0).cast("int").alias(f) for f in FLAGS),
+        ).alias("state"),
+    ).withColumn("old", F.lag("state").over(per_user))
+    both = F.array(
+        F.struct(F.lit(1).alias("sign"), F.col("state")), F.struct(F.lit(-1).alias("sign"), F.col("old").alias("state"))
+    )
+    return (
+        state.where("old IS NULL OR state <> old")
+        .select("cohort", "day", F.inline(both))
+        .where(F.size("state.pairs") > 0)
+        .select("cohort", "day", "sign", "state.*")
+        .groupBy("cohort", "pairs", *FLAGS, "day")
+        .agg(F.sum("sign").alias("users"))
+        .where("users <> 0")
+    )
+
+
+def _cells(states: DataFrame) -> DataFrame:
+    """``cohort, day, users``, the flags and the cell, for each cell that a state is in."""
 
     def cell(grouping_set: int, kind: Column | None = None, bucket: Column | None = None) -> Column:
         rolled_up = F.lit(ROLLED_UP)
@@ -239,7 +296,7 @@ def _cells(stretches: DataFrame) -> DataFrame:
         F.array_distinct(F.transform("pairs", lambda x: cell(BUCKET_SET, None, x.account_age_bucket))),
         F.transform("pairs", lambda x: cell(BOTH_SET, x.account_type, x.account_age_bucket)),
     )
-    return states.select("snapshot_date", "cohort", "users", *FLAGS, F.inline(cells))
+    return states.select("cohort", "day", "users", *FLAGS, F.inline(cells))
 
 
 def cube_slice(cube: DataFrame, split_by: Sequence[str] = ()) -> DataFrame:

@@ -345,12 +345,10 @@ def _monthly(body: str) -> str:
     return f"WITH {oracle.LONG_CUBE} {body}"
 
 
-def _monthly_cube(spark, sf, cohort_ends=False):
+def _monthly_cube(spark, sf):
     src = views.accounts_long(spark, sf)
     last = lifecycle.latest_day(src).scalar()
     stretches = active_users.user_stretches(lifecycle.account_segments(src), last)
-    if cohort_ends:
-        stretches = active_users.at_cohort_month_ends(stretches, last)
     return active_users.active_user_cube(stretches, views.ACCOUNT_TYPES)
 
 
@@ -370,7 +368,7 @@ FROM active_user_cube WHERE signup_cohort <> 'ALL' GROUP BY 1, 2
 
 @register("cohort_retention", _monthly(_RETENTION))
 def cohort_retention(spark, sf):
-    return cohorts.cohort_retention(_monthly_cube(spark, sf, cohort_ends=True))
+    return cohorts.cohort_retention(_monthly_cube(spark, sf))
 
 
 MONTHS = range(13)
@@ -384,7 +382,7 @@ MONTHS = range(13)
     )),
 )
 def cohort_matrix(spark, sf):
-    cube = _monthly_cube(spark, sf, cohort_ends=True)
+    cube = _monthly_cube(spark, sf)
     return cohorts.cohort_matrix(cohorts.cohort_retention(cube), MONTHS)
 
 

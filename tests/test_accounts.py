@@ -276,7 +276,7 @@ def test_a_cohort_that_closes_before_the_month_ends_keeps_its_latest_snapshot(sp
     src = views.accounts_long(spark, sf)
     last = lifecycle.latest_day(src).scalar()
     stretches = active_users.user_stretches(lifecycle.account_segments(src), last)
-    cube = active_users.active_user_cube(active_users.at_cohort_month_ends(stretches, last))
+    cube = active_users.active_user_cube(stretches)
     got = rows_of(cohorts.cohort_retention(cube))
     # The last row of each cohort and month, whatever its day.
     latest = f"""
@@ -290,3 +290,35 @@ def test_a_cohort_that_closes_before_the_month_ends_keeps_its_latest_snapshot(sp
     expected = sorted(check.oracle(sf).execute(latest).fetchall())
     assert any(not row[4] for row in expected)  # such cohorts are there
     assert got == [row[:4] for row in expected]
+
+
+def test_cube_counts_each_day_as_the_unfolded_days_do(spark):
+    """Users with several accounts, gaps, repeated openings, closed but active accounts and one-day stretches."""
+    rng = random.Random(5)
+    start, rows = dt.date(2024, 1, 1), []
+    for user in range(30):
+        for kind in ("a", "b"):
+            for bucket in ("x", "y"):
+                day = rng.randrange(20)
+                while day < 60 and rng.random() < 0.9:
+                    length = rng.choice((1, 1, 3, 9))
+                    flags = sorted(rng.randrange(2) for _ in range(3))
+                    first, last = (start + dt.timedelta(days=n) for n in (day, day + length - 1))
+                    rows.append((user, kind, bucket, dt.date(2024, 1 + user % 3, 1), first, last, rng.random() < 0.6, *flags))
+                    day += length + rng.choice((0, 0, 4))
+    stretches = spark.createDataFrame(
+        rows, "user_id long, account_type string, account_age_bucket string, signup_cohort date, start_day date,"
+        " end_day date, is_open boolean, active_1d int, active_7d int, active_28d int",
+    )
+    days = active_users.user_days_with_flags(active_users.user_days(stretches)).collect()
+    expected = {}
+    for r in days:
+        split = ((), (0,), (1,), (0, 1), (2,))
+        named = (r.account_type, r.account_age_bucket, str(r.signup_cohort))
+        for s in split:
+            cell = (r.snapshot_date, *(named[i] if i in s else "ALL" for i in range(3)))
+            expected.setdefault(cell, {})[r.user_id] = (r.active_1d, r.active_7d, r.active_28d)
+    found = {tuple(r[:4]): tuple(r[4:8]) for r in active_users.active_user_cube(stretches).collect()}
+    assert found == {c: (len(u), *map(sum, zip(*u.values()))) for c, u in expected.items()}
+    empty = active_users.active_user_cube(stretches.where("user_id < 0"))
+    assert empty.count() == 0
