@@ -5,8 +5,8 @@ bar ``\p``, so no control string can appear there and reading back is exact.
 
 An example is all turns before an assistant turn as context, and that turn, of which only the text
 is trainable. Its text is a prefix of the conversation as written, so examples refer to it:
-``examples`` has the ends of context, loss and example as offsets into the turns of ``render``, and is
-as large as the input. ``example_texts`` writes every prefix out, which grows with the square of a
+``expanded`` puts the example behind each assistant turn of ``render``, with the ends of context, loss
+and example as offsets, and is at most twice as large as the input; ``examples`` has these rows alone. ``example_texts`` writes every prefix out, which grows with the square of a
 conversation's turns; it is for writers of files.
 """
 
@@ -77,12 +77,30 @@ def render(conversations: DataFrame) -> DataFrame:
     )
 
 
+def expanded(turns: DataFrame) -> DataFrame:
+    """Every turn, and after each assistant turn its example: the columns of ``turns``, with
+    ``context_end`` and ``example_end``, which are null in rows that are turns.
+
+    The context of an example is the conversation as written up to ``context_end``, all turns before it;
+    its ``piece`` is the reply, and only ``loss_start`` to ``loss_end`` of it is trainable. Rows of one
+    conversation stay in the order and the task that they have in ``turns``, so a reader streams the
+    context once for all its examples.
+    """
+    both = F.when(F.col("is_target"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = turns.withColumn("_example", F.explode(both))
+    return rows.withColumns(
+        {
+            "context_end": F.when(F.col("_example"), F.col("start")),
+            "example_end": F.when(F.col("_example"), F.col("start") + F.length("piece")),
+        }
+    ).drop("_example")
+
+
 def examples(turns: DataFrame) -> DataFrame:
     """``conv_id, position, context_end, loss_start, loss_end, example_end``: a row for each assistant
     turn. The example is the conversation as written up to ``example_end``."""
-    end = (F.col("start") + F.length("piece")).alias("example_end")
-    return turns.filter("is_target").select(
-        "conv_id", "position", F.col("start").alias("context_end"), "loss_start", "loss_end", end
+    return expanded(turns).filter("context_end IS NOT NULL").select(
+        "conv_id", "position", "context_end", "loss_start", "loss_end", "example_end"
     )
 
 

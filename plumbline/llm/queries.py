@@ -72,7 +72,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of conversations, read back from the turns and examples as written."""
+    """Digests of conversations, read back as written: roles and texts from the turns, what is trained
+    from the examples, each of which must begin with all that was written before its reply."""
     odd = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame(
         [(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"
@@ -87,7 +88,7 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state = None, None
+        conv, state, context = None, None, 0
         done: list[tuple] = []
 
         def close() -> None:
@@ -108,23 +109,27 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
                     if state is not None:
                         close()
                     conv, state = row["conv_id"], [0, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0]
-                role, text = chat.read_turn(row["piece"])
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if row["loss_start"] is not None:
-                    a, b = row["loss_start"] - row["start"], row["loss_end"] - row["start"]
-                    trained = chat.unescape(row["piece"][a:b])
-                    state[2].update(trained.encode())
-                    state[3] += len(trained)
-                    state[5] += 1
-                    state[6] += row["start"] + len(row["piece"])
-                state[4] += len(row["piece"])
+                if row["context_end"] is None:
+                    role, text = chat.read_turn(row["piece"])
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
+                    context, state[4] = state[4], state[4] + len(row["piece"])
+                    continue
+                if (row["context_end"], row["example_end"]) != (context, state[4]):
+                    raise ValueError("an example does not begin with the turns before its reply")
+                a, b = row["loss_start"] - row["context_end"], row["loss_end"] - row["context_end"]
+                trained = chat.unescape(row["piece"][a:b])
+                state[2].update(trained.encode())
+                state[3] += len(trained)
+                state[5] += 1
+                state[6] += row["example_end"]
             yield flush()
         if state is not None:
             close()
         yield flush()
 
-    return turns.sortWithinPartitions("conv_id", "position").mapInArrow(run, schema)
+    in_order = chat.expanded(turns).sortWithinPartitions("conv_id", "position", F.col("context_end").asc_nulls_first())
+    return in_order.mapInArrow(run, schema)
 
 
 _WRITTEN = "replace(replace({}, chr(92), repeat(chr(92), 2)), '|', chr(92) || 'p')"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import checkpoint, slices, texts
+from .frames import checkpoint, join_counts, slices, texts
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Rows that are walked at once, and node pairs.
@@ -54,18 +54,20 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > len(array)).tolist())
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``doc_id, fp`` of each row; ``fp`` is the fingerprint as a signed long. Null text: empty."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` of each row; ``fp`` is the fingerprint as a signed long. Null text: empty.
+    ``keep`` names further columns, all long, that are handed through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle, seed) for t in texts(batch)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"]
+                [batch.column("doc_id"), pa.array(fps.view(np.int64)), *(batch.column(c) for c in keep)],
+                ["doc_id", "fp", *keep],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *keep)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -215,34 +217,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     )
 
 
-def _grouped(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    rows = checkpoint(fingerprints(docs, shingle))
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    rows = checkpoint(fingerprints(docs, shingle, keep=keep))
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labels = components(links(classes, max_bits))
     named = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("component", "fp")
     )
+    # One row per distinct fingerprint: a group of very many is split by ``join_counts``.
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = named.join(smallest, "root").select("fp", "root", "component_id")
+    ids = join_counts(named, smallest, "root").select("fp", "root", "component_id")
     return rows.join(ids, "fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs``, one of each group: that with the smallest ``doc_id`` (null last), among
-    repeated ids that with the smallest text hash. All columns stay as they are."""
+    repeated ids that with the smallest text hash. All columns stay as they are.
+
+    Rows are told apart by their id and 128 bits of their text; rows that agree in both are repeats.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.xxhash64(F.col("doc_id").cast("long"), text)
-    whole = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
-
-    # One fingerprint for each row, under the hash of its id and text.
-    keyed = docs.select(key.alias("doc_id"), "text")
-    grouped = _grouped(keyed, shingle, max_bits).select(F.col("doc_id").alias("row_key"), "root")
-    ids = docs.select(key.alias("row_key"), F.col("doc_id").cast("long").alias("id")).distinct()
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")
-    chosen = (
-        grouped.distinct().join(ids, "row_key").groupBy("root").agg(F.min(order).alias("kept"))
-        .select(F.col("kept.row_key").alias("row_key"))
+    row_key = {"_id": F.col("doc_id").cast("long"), "_ta": F.xxhash64(text), "_tb": F.xxhash64(F.lit(1), text)}
+    grouped = _grouped(docs.select("doc_id", "text", *(c.alias(n) for n, c in row_key.items())), shingle, max_bits, tuple(row_key))
+    order = F.struct(F.col("_id").isNull().alias("no_id"), *row_key)
+    chosen = grouped.groupBy("root").agg(F.min(order).alias("kept")).select(
+        *(F.col(f"kept.{n}").alias(f"kept{n}") for n in row_key)
     )
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    found = whole.join(chosen, "row_key", "left_semi").withColumn("nth", nth)
-    return found.filter("nth = 1").select("row.*")
+    whole = docs.select(F.struct("*").alias("row"), *(c.alias(n) for n, c in row_key.items()))
+    same = [F.col(n).eqNullSafe(F.col(f"kept{n}")) for n in row_key]
+    found = whole.join(chosen, same, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*row_key).orderBy("_ta"))
+    return found.withColumn("nth", nth).filter("nth = 1").select("row.*")
