@@ -45,6 +45,12 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name."""
+    at, system = _file_system(spark, path)
+    return system.exists(at)
+
+
 def committed(spark: SparkSession, folder: str) -> list[str]:
     """Folders directly below ``folder`` whose write was committed, in the order of their names."""
     at, system = _file_system(spark, folder)

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import check_state
 from plumbline.operators.keys import minimal_keys
+from plumbline.operators.search import TextSource, text_search
 from plumbline.operators.sketches import LG_K, daily_sketches, rolling_distinct, standard_error
+from plumbline.operators.text_index import index_text, narrowed
 from plumbline.plans import incremental, late, lifecycle
 from plumbline.sources import manifest, metering
 from plumbline.sources.cost import ScanTooLarge
 from plumbline.sources.parquet import write_shards
 from plumbline.sources.storage import publish, shared_folder, write_manifest
+from plumbline.streaming import account_history
 from plumbline.testbed import views
 from plumbline.testbed.accounts import EDGES, UNIT, _cubed, _datelist, _dense, sources
 from plumbline.testbed.catalog import register
@@ -255,3 +258,66 @@ def _register_keys(name: str, columns: list[str]) -> None:
 
 for _name, _columns in _KEYED.items():
     _register_keys(_name, _columns)
+
+
+_NEEDLES = ("er", "the ", "toothpaste", "n.\nA", "password", "src1")
+
+
+def _needles_sql() -> str:
+    def quoted(text):
+        return "'" + text.lower().strip().replace("\n", "' || chr(10) || '") + "'"
+
+    return " UNION ALL ".join(
+        f"SELECT {quoted(q)} AS needle, 'document' AS kind, CAST(doc_id AS VARCHAR) AS name FROM documents"
+        f" WHERE contains(lower(text), {quoted(q)}) OR contains(lower(source), {quoted(q)})"
+        for q in _NEEDLES
+    )
+
+
+@register("text_search_indexed", _needles_sql())
+def text_search_indexed(spark, sf):
+    """Needles looked up in an index of trigrams by file, which was made when half of the documents were
+    there, and again after the others came, but for a last part that is not in it."""
+    documents = table(spark, sf, "documents")
+    fields = ["text", "source"]
+
+    def write(path):
+        for part in range(3):
+            rows = documents.where(F.pmod(F.xxhash64("source"), F.lit(3)) == part)
+            rows.write.mode("append").parquet(f"{path}/documents")
+            if part < 2:
+                index_text(spark, f"{path}/documents", fields, f"{path}/index")
+
+    path = views.stored(spark, sf, "documents-with-index", write)
+    out = None
+    for needle in _NEEDLES:
+        rows = narrowed(spark, f"{path}/documents", fields, f"{path}/index", needle)
+        hits = text_search([TextSource("document", rows, "doc_id", tuple(fields))], needle)
+        hits = hits.select(F.lit(needle.lower().strip()).alias("needle"), "kind", "name")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@register("stream_account_history", _dense("SELECT * FROM account_datelist"))
+def stream_account_history(spark, sf):
+    """Events arrive day by day, a third of the last three days two days late; late ones are kept apart,
+    and taken in at the end."""
+    src = sources(spark, sf)
+    last = lifecycle.latest_day(src).first().d
+    day = F.col("ts").cast("date")
+    behind = F.date_diff(F.lit(last), day)
+    delay = F.when(F.pmod(F.xxhash64("account_id", "ts", "kind"), F.lit(3)) == 0, 2).otherwise(0)
+    arrival = F.when(behind >= 3, 0).otherwise(3 - behind + delay)
+    events = account_history.account_events(src).withColumn("arrival", arrival)
+    folder = shared_folder(spark, "history-stream")
+    for n in range(6):
+        rows = events.where(F.col("arrival") == n).drop("arrival")
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
+    stream = (
+        spark.readStream.schema(account_history.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arrivals")
+    )
+    path = f"{folder}/store"
+    account_history.keep_history(stream, path, f"{folder}/checkpoint", 0, EDGES).awaitTermination()
+    account_history.close_through(spark, path, last, EDGES)
+    account_history.repair_late(spark, path, EDGES)
+    return account_history.history(spark, path).select(*lifecycle.DATELIST_COLUMNS)
