@@ -181,16 +181,22 @@ def publish_model(spark, sf):
 
 @register("publish_gated", _dense("SELECT * FROM account_datelist"))
 def gated(spark, sf):
-    """The history as readers see it after a gated run; a failed gate raises."""
+    """The history as readers see it after a gated run; a failed gate raises. Accounts that were never
+    created are no part of the history: they are published beside it, and only warn."""
     path = shared_folder(spark, "gated")
+    src = sources(spark, sf)
 
     def check(models):
         checks = quality.account_checks(
-            sources(spark, sf), models["account_datelist"], views.ACCOUNT_TYPES
+            src, models["account_datelist"], views.ACCOUNT_TYPES, set_apart=models["account_orphans"]
         )
         return quality.quality_report(checks)
 
-    publish_gated(spark, {"account_datelist": (_datelist(spark, sf), "snapshot_date")}, check, path)
+    models = {
+        "account_datelist": (_datelist(spark, sf), "snapshot_date"),
+        "account_orphans": (quality.account_orphans(src), None),
+    }
+    publish_gated(spark, models, check, path)
     return published(spark, path, "account_datelist").select(*lifecycle.DATELIST_COLUMNS)
 
 
