@@ -81,8 +81,10 @@ def human_bytes(n: Column | str) -> Column:
     n = _col(n)
 
     def scaled(power: int) -> Column:
-        value = F.bround(n.cast("double") / F.lit(float(1024**power)), 2)
-        return F.format_string(f"%.2f {SIZE_UNITS[power]}", value)
+        value = n.cast("double") / F.lit(float(1024**power))
+        # of a large number the shortest digits can look like a half where the number is none
+        part = value % F.lit(1.0)
+        return F.format_string(f"%.2f {SIZE_UNITS[power]}", value - part + F.bround(part, 2))
 
     text = F.when(n.isNull(), "unknown").when(n < 1024, F.format_string("%d B", n.cast("long")))
     for power in range(1, len(SIZE_UNITS) - 1):

@@ -661,8 +661,9 @@ _function("fn_human_bytes", "orders",
           " ELSE printf('%.2f TiB', b / 1099511627776.0) END AS size FROM (SELECT o_orderkey,"
           " nullif(o_orderkey, 3) * o_custkey * o_custkey * 40 AS b FROM orders)",
           lambda: dict(o_orderkey="o_orderkey",
-          size=human_bytes(
-              F.nullif("o_orderkey", F.lit(3)) * F.col("o_custkey") * F.col("o_custkey") * 40)))
+          # a product of three keys soon exceeds a long
+          size=human_bytes(F.nullif("o_orderkey", F.lit(3)).cast("decimal(38,0)")
+                           * F.col("o_custkey") * F.col("o_custkey") * 40)))
 
 
 @register(

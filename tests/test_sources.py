@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import os
+from decimal import Decimal
 
 import pyarrow.parquet as pq
 import pytest
@@ -21,6 +22,7 @@ from plumbline.sources.storage import (
     shared_folder,
 )
 from plumbline.streaming import append_closed_days, daily_activity
+from plumbline.testbed import QUERIES
 
 YEARLY = Table("orders", "one order", shard_suffix="suffix", shard_pattern="yyyy")
 
@@ -112,6 +114,20 @@ def test_byte_math_and_sizes(spark):
     assert bucket_labels((30, 90, 365)) == ["0-30 (new)", "31-90", "91-365", "366+ (established)"]
 
 
+def test_sizes_beyond_a_long(spark, tmp_path):
+    """A tie goes to the even neighbour; what is a little above or below a half is no tie."""
+    sizes = {2**40 + 2**37: "1.12 TiB", 2**40 * 3 + 2**37 * 3: "3.38 TiB", 2**41 - 1: "2.00 TiB",
+             174420708791117315160: "158634710.53 TiB", 206223680016365351800: "187559344.35 TiB",
+             10**24: f"{10**24 / 2**40:.2f} TiB"}
+    df = spark.createDataFrame([(Decimal(n),) for n in sizes], "n decimal(38,0)")
+    assert [r[0] for r in df.select(human_bytes("n")).collect()] == list(sizes.values())
+    big = 8 * 10**7
+    rows = [(1, 2), (3, 5), (big, big), (None, 1)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.size for r in QUERIES["fn_human_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {1: "160 B", 3: "unknown", None: "unknown", big: f"{big**3 * 40 / 2**40:.2f} TiB"}
+
+
 def test_parameters_are_values(spark):
     row = parameterized(spark, "SELECT :a a, :b b, :c c, :d d",
                         {"a": 1, "b": "x' OR '1", "c": 1.5, "d": True})
