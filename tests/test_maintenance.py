@@ -315,6 +315,29 @@ def test_minimal_keys_equal_all_subsets_counted(spark, seed):
     assert keys.minimal_keys(table, samples=()) == expected
 
 
+def test_near_keys_do_not_shuffle_all_rows(spark, monkeypatch):
+    """A near key that the samples leave is refuted by a slice of its hashes; only keys are hashed whole."""
+    n = F.col("id")
+    table = spark.range(4000).select(n.alias("k"), (n % 3500).alias("near"), F.lit(1).alias("one"))
+    whole, compared, real, exact = [], [], keys.repeated_hashes, keys.is_key
+
+    def hashed(rows, n_rows, candidates, slices=1):
+        whole.extend(candidates if slices == 1 else [])
+        return real(rows, n_rows, candidates, slices)
+
+    monkeypatch.setattr(keys, "_HASHES_IN_TASK", 1000)
+    monkeypatch.setattr(keys, "repeated_hashes", hashed)
+    monkeypatch.setattr(keys, "is_key", lambda rows, c: compared.append(c) or exact(rows, c))
+    assert keys.minimal_keys(table, max_columns=2, samples=(20,)) == [("k",)]
+    assert whole == [("k",)] and compared == []
+
+
+def test_equal_hashes_of_unequal_values_are_no_repeat(spark, monkeypatch):
+    table = spark.createDataFrame([(a, b) for a in (None, 0, 1) for b in (None, 0, 1)], "a int, b int")
+    monkeypatch.setattr(keys, "_hash", lambda columns: F.xxhash64(F.lit(7)))
+    assert keys.keys_among(table, 9, [("a",), ("b",), ("a", "b")], (2, 1)) == [("a", "b")]
+
+
 def test_keys_of_hardly_any_rows(spark):
     table = spark.createDataFrame([(1, None)], "a int, b int")
     assert keys.minimal_keys(table) == [()] == keys.minimal_keys(table.limit(0))
